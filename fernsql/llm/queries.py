@@ -8,10 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, simhash
+from . import bpe, decontam, fingerprints, simhash, tokens
 from .common import read
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_table(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.find(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,7 +37,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op6_fingerprints, op9_bpe)}
+    return {f.__name__: f for f in (op2_token_ids, op4_simhash, op6_fingerprints, op7_decontam, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

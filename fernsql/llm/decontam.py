@@ -141,7 +141,7 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int,
     rows = index.join(F.broadcast(terms), "term", "left_semi")
     schema = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("at", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         names = table.column("term").to_pylist()
         blobs = table.column("postings")
         lists: dict[int, np.ndarray] = {}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, simhash, tokens
+from . import bpe, decontam, fingerprints, simhash, tokens, toxicity
 from .common import read
 
 
@@ -32,12 +32,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(spark, docs, read(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op4_simhash, op6_fingerprints, op7_decontam, op9_bpe)}
+    return {f.__name__: f for f in (op2_token_ids, op4_simhash, op6_fingerprints, op7_decontam, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

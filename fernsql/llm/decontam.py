@@ -13,8 +13,6 @@ one item_id are separate phrases of the same item. An empty table of items leave
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +25,7 @@ from .common import FOLD, Scratch, batches, rows_of
 #: Bytes that part words: ASCII but letters and digits (upper case is folded first).
 BREAKS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in FOLD)
 #: Tokens of a segment, about; a longer document is a segment of its own.
-SEGMENT_TOKENS = 2_000_000
+SEGMENT_TOKENS = 750_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -204,27 +202,30 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
     for f in found[1:]:
         merged = merged.unionAll(f)
     both = merged.groupBy("segment", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return both.select("doc_id", "n_words", "hits", "items")
+    return _merge(both)
 
 
-def covered(hits: list[int]) -> int:
-    """Words in the union of runs given as flat pairs."""
-    total = end = 0
-    for b, e in sorted(zip(hits[::2], hits[1::2])):
-        total += max(0, e - max(b, end))
-        end = max(end, e)
-    return total
-
-
-def digests(found: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+def _merge(found: DataFrame) -> DataFrame:
+    """Hits of several blocks of items as sorted runs that are apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for doc_id, n, hits, items in rows_of(part, "doc_id", "n_words", "hits", "items"):
-                hit = covered(hits)
-                yield doc_id, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0
+                out: list[int] = []
+                for b, e in sorted(zip(hits[::2], hits[1::2])):
+                    if out and b <= out[-1]:
+                        out[-1] = max(out[-1], e)
+                    else:
+                        out += [b, e]
+                yield doc_id, n, out, items
 
         return batches(each(), schema)
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(run, "doc_id long, n_words long, hits array<bigint>, items array<string>")
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """The counts and the digest of items of each row of ``find``."""
+    n_hit = F.expr("aggregate(hits, named_struct('t', 0L, 's', -1L), (a, x) -> named_struct('t', a.t + a.s * x, 's', -a.s), a -> a.t)")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))

@@ -8,14 +8,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, simhash, tokens, toxicity
+from . import bpe, decontam, fingerprints, licenses, simhash, tokens, toxicity, urls
 from .common import read
 
 
+#: The rules of the registered URL query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(spark, docs))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(spark, read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, rule string"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
 
@@ -42,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op4_simhash, op6_fingerprints, op7_decontam, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op6_fingerprints, op7_decontam, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, licenses, simhash, tokens, toxicity, urls
+from . import bpe, decontam, fingerprints, licenses, simhash, suffixes, tokens, toxicity, urls
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(spark, read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(spark, read(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op6_fingerprints, op7_decontam, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_decontam, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

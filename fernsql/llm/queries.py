@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, licenses, simhash, suffixes, tokens, toxicity, urls
+from . import bpe, decontam, fingerprints, katz, licenses, simhash, suffixes, tokens, toxicity, urls
 from .common import read
 
 
@@ -45,6 +45,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.find(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_decontam, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_decontam, op8_katz, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

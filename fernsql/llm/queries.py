@@ -12,6 +12,8 @@ from . import bpe, decontam, fingerprints, katz, licenses, simhash, suffixes, to
 from .common import read
 
 
+#: Place and pattern of the byte-level vocabulary.
+BYTE_BPE, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The rules of the registered URL query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -50,7 +52,7 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(read(spark, sf_dir, "documents"), BYTE_BPE, PATTERN)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_decontam, op8_katz, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_ids, op3_urls, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_decontam, op8_katz, op9_bpe, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

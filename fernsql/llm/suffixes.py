@@ -27,16 +27,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Scratch, batches, keyed, rows_of
 
 GRAM = 16
 #: Text bytes to a range of keys, and suffixes to a sort, about.
-PART_BYTES, SORT_BYTES = 24 << 20, 4 << 20
+PART_BYTES, SORT_BYTES = 12 << 20, 3 << 20
 #: Runs that a task holds before it sends them on.
-FLUSH_RUNS = 600_000
+FLUSH_RUNS = 200_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 BYTE_CODES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -447,5 +448,49 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFram
     return rows.join(windows, "uid", "left").select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def cut(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
+    """docs with repeats cut out of text, and n_chars, if there is one, the new number of characters.
+
+    A character that a cut splits goes whole. Rows that lose nothing stay as they are, null texts too. Rows are matched
+    by (doc_id, text), so repeats among rows of one doc_id and one text are cut out of the rows after the first.
+    """
+    rows, windows = find_repeats(spark, docs, length)
+    schema = pa.schema([("__kept", pa.string())])
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+
+    def trim(texts: Iterator[tuple]) -> Iterator[str | None]:
+        for text, found in texts:
+            if not found or text is None:
+                yield text
+                continue
+            data = text.encode()
+            spans = removed_runs(found, length)
+            ends = [0, *(e for _, e in spans)]
+            yield "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(ends, [*(b for b, _ in spans), len(data)]))
+
+    def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in part:
+            for low in range(0, whole.num_rows, 500):
+                batch = whole.slice(low, 500)
+                new = pa.array(trim(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], new], names=[*batch.schema.names[2:], schema.names[0]])
+
+    same = not rows.filter("uid is distinct from doc_id").limit(1).count()
+    if same:
+        joined = docs.withColumn("__uid", F.col("doc_id").cast("long")).join(windows.withColumnRenamed("uid", "__uid"), "__uid", "left")
+    else:
+        order = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
+        own = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(order))
+        ids = rows.withColumn("__hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("uid")))
+        found = ids.join(windows, "uid").select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), F.col("__n").alias("__m"), "windows")
+        joined = own.join(found, own.doc_id.cast("long").eqNullSafe(found["__id"]) & (own["__hash"] == found["__h"]) & (own["__n"] == found["__m"]), "left")
+    columns = [f for f in docs.schema.fields if f.name in extra or f.name in ("doc_id", "n_chars")]
+    ready = joined.select("text", F.col("windows").alias("__windows"), *(f.name for f in columns))
+    done = ready.mapInArrow(run, StructType([*columns, StructField("__kept", StringType())])).withColumnRenamed("__kept", "text")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return done.select(*docs.columns)
+
+
 def digests(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
     return removed(spark, docs, length).drop("kept")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    large_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -41,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def large_rows(spark: SparkSession, most: int = 1000) -> None:
+    """Limits the rows of the session's record batches: whole texts make large rows, and workers hold a few batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Written tables that cut lineage. They live in the shared folder, so a lost executor costs a re-read only.
 
@@ -60,10 +69,11 @@ class Scratch:
         except Exception:  # the JVM may be gone at interpreter exit
             pass
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """The table read back; parts are columns with a folder for each value, which ``free`` can drop alone."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*parts).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def free(self, *names: str) -> None:
         for name in names:
@@ -72,8 +82,10 @@ class Scratch:
 
     def collect_garbage(self) -> None:
         """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the JVM lets go only after Python has, and drops files a little later
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 20_000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

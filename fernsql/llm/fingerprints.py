@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,14 +67,17 @@ def _ranks(parts: list[DataFrame], digest: Callable[[Column], Column], scratch:
 
     Partial aggregation keeps each bucket's least and greatest text, so a group of copies sends one row a task.
     """
-    texts = parts[0].select("canon")
-    for p in parts[1:]:
-        texts = texts.unionAll(p.select("canon"))
-    texts = texts.withColumn("bucket", digest(F.col("canon")))
-    clash = scratch.save(texts.groupBy("bucket").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).filter("lo != hi").select("bucket"), "clash")
+    texts = [p.select("canon").withColumn("bucket", digest(F.col("canon"))) for p in parts]
+    ends = None
+    for i, t in enumerate(texts):
+        # One part after the other, so that the shuffle files of one are gone before the next.
+        kept = scratch.save(t.groupBy("bucket").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")), f"ends{i}")
+        scratch.collect_garbage()
+        ends = kept if ends is None else ends.unionAll(kept)
+    clash = scratch.save(ends.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("bucket"), "clash")
     if not clash.limit(1).count():
         return None
-    apart = texts.join(clash, "bucket", "left_semi").distinct()
+    apart = reduce(DataFrame.unionAll, (t.join(clash, "bucket", "left_semi") for t in texts)).distinct()
     order = Window.partitionBy("bucket").orderBy("canon")
     return scratch.save(apart.select("bucket", F.xxhash64(F.lit("third"), F.col("canon")).alias("third"), F.row_number().over(order).alias("rank")), "ranks")
 

@@ -94,7 +94,7 @@ def blocks(docs: DataFrame, modulus: int) -> DataFrame:
             doc_id, null, n, out = (np.array(x, I) for x in zip(*meta))
             counts = np.bincount(numbers[np.repeat(out == 0, n)], minlength=len(keys))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block] * 3), pa.array([DOCS, SEQUENCE, WORDS], pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([pack(doc_id, null, n, out), pack(numbers), pack(keys[order], counts.astype(I))], pa.binary())], schema=SCHEMA
+                [pa.array([block] * 3), pa.array([DOCS, SEQUENCE, WORDS], pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([pack(doc_id, null, n, out), pack(numbers, body=int(rank[1]).to_bytes(8, "little")), pack(keys[order], counts.astype(I))], pa.binary())], schema=SCHEMA
             )
 
         for doc_id, text in rows_of(part, "doc_id", "text"):
@@ -196,10 +196,11 @@ def _block_words(table, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(c), np.concatenate(ids)
 
 
-def _block_pairs(table, start: int) -> tuple:
-    """Documents, tokens and distinct pairs of a block; pairs as word places h x width + w, sorted."""
+def _block_tokens(table) -> tuple:
+    """Documents and tokens of a block, and the word before each token."""
     (doc_id, null, n, out), _ = unpack(_blobs(table, DOCS)[0][2], [I] * 4)
-    (seq,), _ = unpack(_blobs(table, SEQUENCE)[0][2], [I])
+    (seq,), body = unpack(_blobs(table, SEQUENCE)[0][2], [I])
+    start = int.from_bytes(body, "little")
     before = np.concatenate([[start], seq[:-1]])
     before[np.cumsum(n) - n] = start
     return doc_id, null, n, out, seq, before
@@ -211,23 +212,20 @@ def _spread(code: np.ndarray) -> np.ndarray:
     return x * U(0xBF58476D1CE4E5B9)
 
 
-def _pair_codes(table, offsets: np.ndarray, start_key: int) -> tuple:
+def _pair_codes(table, offsets: np.ndarray) -> tuple:
+    """Distinct pairs of a block by places of their words, and where each token's pair is among them."""
     c, ids = _block_words(table, offsets)
-    (keys, _), _ = unpack(_blobs(table, WORDS)[0][2], [U, I])
-    start = int(np.searchsorted(keys, U(start_key)))
-    doc_id, null, n, out, seq, before = _block_pairs(table, start)
+    doc_id, null, n, out, seq, before = _block_tokens(table)
     local, inverse = np.unique(before * len(ids) + seq, return_inverse=True)
     h, w = local // len(ids), local % len(ids)
     code = (ids[h] << 32) | ids[w]
     return c, ids, doc_id, null, n, out, seq, inverse, h, w, code
 
 
-def count_pairs(rows: DataFrame, parts: int, offsets: np.ndarray, model: dict) -> DataFrame:
+def count_pairs(rows: DataFrame, parts: int, offsets: np.ndarray) -> DataFrame:
     """TABLE: pairs and counts of a range. SUMS for ranges of contexts. PAIR_ANSWER to each block. STATS."""
-    starts = START
-
     def ask(key, table):
-        c, ids, _, _, n, out, _, inverse, h, w, code = _pair_codes(table, offsets, starts)
+        c, ids, _, _, n, out, _, inverse, h, w, code = _pair_codes(table, offsets)
         r = np.bincount(inverse, np.repeat(out == 0, n), len(code)).astype(I)
         to = (_spread(code) >> U(32)).astype(I) * parts >> 32
         order = np.lexsort((code, to))
@@ -258,7 +256,9 @@ def count_pairs(rows: DataFrame, parts: int, offsets: np.ndarray, model: dict) -
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             level = np.minimum(r, K + 1)
             many = [np.add.reduceat(np.where(level == k, r, 0), heads) for k in range(1, K + 2)]
-            rows.append((0, SUMS, p, pack(_deltas(h[heads]), *many, np.add.reduceat(_word_p(c, model), heads))))
+            level = np.minimum(c, K + 1)
+            many += [np.add.reduceat(np.where(level == k, c, 0), heads) for k in range(1, K + 2)]
+            rows.append((0, SUMS, p, pack(_deltas(h[heads]), *many)))
         return _table(rows)
 
     return rows.groupBy("block").applyInArrow(ask, ROWS).groupBy("part").applyInArrow(merge, ROWS)
@@ -275,7 +275,7 @@ def weigh(sums: DataFrame, answers: DataFrame, parts: int, offsets: np.ndarray,
         def each() -> Iterator[tuple]:
             for batch in part:
                 for kind, blob in zip(batch.column(1).to_pylist(), batch.column(3)):
-                    h, *rest = unpack(blob.as_py(), [I] * (K + 2) + [D])[0]
+                    h, *rest = unpack(blob.as_py(), [I] * (2 * K + 3))[0]
                     h = _sums(h)
                     at = cuts(h)
                     for p, (a, b) in enumerate(zip(at, at[1:])):
@@ -290,17 +290,15 @@ def weigh(sums: DataFrame, answers: DataFrame, parts: int, offsets: np.ndarray,
         return _table([(key[0].as_py(), ASKED, p, pack(_deltas(ids[a:b]))) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a])
 
     def merge(key, table):
-        got = [unpack(x, [I] * (K + 2) + [D])[0] for _, _, x in _blobs(table, SUMS)]
+        got = [unpack(x, [I] * (2 * K + 3))[0] for _, _, x in _blobs(table, SUMS)]
         h = np.concatenate([g[0] for g in got]) if got else np.zeros(0, I)
         known, place = np.unique(h, return_inverse=True)
         total, kept, mass = np.zeros(len(known)), np.zeros(len(known)), np.zeros(len(known))
-        for k in range(1, K + 2):
-            if got:
-                n = np.bincount(place, np.concatenate([g[k] for g in got]), len(known))
-                total += n
-                kept += n * model["d2"][k]
-        if got:
-            mass = np.bincount(place, np.concatenate([g[K + 2] for g in got]), len(known))
+        for k in range(1, K + 2) if got else ():
+            n = np.bincount(place, np.concatenate([g[k] for g in got]), len(known))
+            total += n
+            kept += n * model["d2"][k]
+            mass += np.bincount(place, np.concatenate([g[K + 1 + k] for g in got]), len(known)) * model["d1"][k] / model["N"]
         # Where nothing was discounted one count is added for the words that weren't seen.
         divisor = np.where(total - kept > 0, total, total + 1)
         alpha = (1 - kept / np.maximum(divisor, 1)) / np.maximum(1 - mass, 1e-300)
@@ -319,11 +317,10 @@ def weigh(sums: DataFrame, answers: DataFrame, parts: int, offsets: np.ndarray,
 
 def evaluate(rows: DataFrame, parts: int, offsets: np.ndarray, model: dict) -> DataFrame:
     """Scores of each block's documents, token by token: the pair's share, else the weight times the word's P."""
-    starts = START
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key, table):
-        c, ids, doc_id, null, n, out, seq, inverse, h, w, code = _pair_codes(table, offsets, starts)
+        c, ids, doc_id, null, n, out, seq, inverse, h, w, code = _pair_codes(table, offsets)
         to = (_spread(code) >> U(32)).astype(I) * parts >> 32
         order = np.lexsort((code, to))
         r = np.empty(len(code), I)
@@ -353,14 +350,14 @@ def _totals(table: DataFrame) -> np.ndarray:
 def score(spark: SparkSession, docs: DataFrame, modulus: int = 10) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod modulus isn't 0 and scores all rows."""
     scratch = Scratch(spark, "katz")
-    made = scratch.save(blocks(docs, modulus), "blocks")
+    made = scratch.save(blocks(docs, modulus), "blocks", "kind")
     sizes = {r["kind"]: r["n"] for r in made.filter(F.col("kind").isin(SEQUENCE, WORDS)).groupBy("kind").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     # Blobs hold about 9 bytes a word and 2 a token.
     ranges = max(1, sizes[WORDS] // (9 * RANGE_ENTRIES) + 1)
     pair_ranges = max(1, sizes[SEQUENCE] // RANGE_ENTRIES + 1)
-    words = scratch.save(count_words(made.filter(F.col("kind") == WORDS), ranges), "words")
+    words = scratch.save(count_words(made.filter(F.col("kind") == WORDS), ranges), "words", "kind")
     n = _totals(words)
     per_range = {r.part: r.n for r in words.filter(F.col("kind") == TABLE).select("part", "blob").mapInArrow(_lengths, "part int, n long").collect()}
     offsets = np.concatenate([[0], np.cumsum([per_range.get(p, 0) for p in range(ranges)])]).astype(I)
@@ -369,12 +366,13 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 10) -> DataFrame:
     taken = sum((1 - model["d1"][r]) * r * k for r, k in enumerate(some, 1))
     model["unseen"] = taken / model["N"] if model["N"] and taken else 1.0 / (model["N"] + 1)
     answers = words.filter(F.col("kind") == ANSWER)
-    asked = made.unionAll(answers)
-    pairs = scratch.save(count_pairs(asked, pair_ranges, offsets, model), "pairs")
+    scratch.free(f"blocks/kind={WORDS}")
+    asked = made.filter(F.col("kind").isin(DOCS, SEQUENCE)).select(words.columns).unionAll(answers)
+    pairs = scratch.save(count_pairs(asked, pair_ranges, offsets), "pairs", "kind")
     scratch.collect_garbage()
     model = model | {"d2": discounts([0, *_totals(pairs)[2:].tolist()])}
-    weights = scratch.save(weigh(pairs.filter(F.col("kind") == SUMS), answers, ranges, offsets, model), "weights")
-    scratch.collect_garbage()
+    weights = scratch.save(weigh(pairs.filter(F.col("kind") == SUMS), answers, ranges, offsets, model), "weights", "kind")
+    scratch.free(f"pairs/kind={SUMS}")
     every = asked.unionAll(pairs.filter(F.col("kind") == PAIR_ANSWER)).unionAll(weights)
     return evaluate(every, pair_ranges, offsets, model)
 

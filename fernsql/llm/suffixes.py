@@ -37,7 +37,7 @@ GRAM = 16
 #: Text bytes to a range of keys, and suffixes to a sort, about.
 PART_BYTES, SORT_BYTES = 12 << 20, 3 << 20
 #: Runs that a task holds before it sends them on.
-FLUSH_RUNS = 200_000
+FLUSH_RUNS = 150_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 BYTE_CODES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -475,17 +475,18 @@ def cut(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
                 new = pa.array(trim(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], new], names=[*batch.schema.names[2:], schema.names[0]])
 
+    found = windows.select(F.col("uid").alias("__uid"), F.col("windows").alias("__windows"))
     same = not rows.filter("uid is distinct from doc_id").limit(1).count()
     if same:
-        joined = docs.withColumn("__uid", F.col("doc_id").cast("long")).join(windows.withColumnRenamed("uid", "__uid"), "__uid", "left")
+        joined = docs.withColumn("__uid", F.col("doc_id").cast("long")).join(found, "__uid", "left")
     else:
         order = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
         own = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(order))
         ids = rows.withColumn("__hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("uid")))
-        found = ids.join(windows, "uid").select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), F.col("__n").alias("__m"), "windows")
+        found = ids.join(found, ids.uid == found["__uid"]).select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), F.col("__n").alias("__m"), "__windows")
         joined = own.join(found, own.doc_id.cast("long").eqNullSafe(found["__id"]) & (own["__hash"] == found["__h"]) & (own["__n"] == found["__m"]), "left")
     columns = [f for f in docs.schema.fields if f.name in extra or f.name in ("doc_id", "n_chars")]
-    ready = joined.select("text", F.col("windows").alias("__windows"), *(f.name for f in columns))
+    ready = joined.select("text", "__windows", *(f.name for f in columns))
     done = ready.mapInArrow(run, StructType([*columns, StructField("__kept", StringType())])).withColumnRenamed("__kept", "text")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))

@@ -19,9 +19,12 @@ A null doc_id comes first and is stored as the least 64-bit integer.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, batches, rows_of
+from .common import FOLD, Scratch, batches, rows_of
 
 MAGIC = b"TOKSHARD"
 HEADER = "<8sIIQQ32s"
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("offset", "<u8"), ("size", "<u8")])
 NULL_ID = -(1 << 63)
-#: Chunks kept by a worker; a full table starts anew.
-MEMO = 400_000
+#: Chunks in each of the two generations of a worker's memo.
+MEMO = 900_000
 #: Rows whose ids train the dictionary, and the most bytes of ids taken of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 112_640
 
@@ -48,36 +51,89 @@ SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 112_640
 class Encoder:
     """The tokenizer behind a memo of chunks.
 
-    The tokenizer's pre-tokenizer drops white space, and neither its normaliser nor its splits look across a space
-    or line feed, so a text's ids are those of its chunks between these, one after the other. ``whole`` turns the
-    memo off for tokenizers of which this isn't true.
+    For tokenizers whose normaliser folds case and whose pre-tokenizer drops white space and parts letters from
+    punctuation: neither looks across a space or line feed, so a text's ids are those of its chunks between
+    these, one after the other. ``whole`` turns the memo off for tokenizers of which this isn't true.
     """
 
     def __init__(self, path: str, whole: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = whole
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.has_ends = bool(suffix)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     @lru_cache(maxsize=4)
     def load(path: str, whole: bool = False) -> Encoder:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         return Encoder(path, whole)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.whole:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not any(mark in text for mark in self.marks):  # the normaliser folds case, but not within special tokens
+            text = text.encode().translate(FOLD).decode()
         chunks, known = text.replace("\n", " ").split(" "), self.known
-        out = [known.get(c) for c in chunks]
+        out = list(map(known.get, chunks))
         if None in out:
-            new = list(dict.fromkeys(c for c, ids in zip(chunks, out) if ids is None))
-            if len(known) + len(new) > MEMO:
-                known.clear()
-            fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-            known.update((c, ids) for c, ids in fresh.items() if len(c) <= 64)
-            out = [fresh[c] if ids is None else ids for c, ids in zip(chunks, out)]
+            new = self._learn({c for c, ids in zip(chunks, out) if ids is None})
+            out = [new[c] if ids is None else ids for c, ids in zip(chunks, out)]
         return b"".join(out)
 
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the young generation lacks. Once that is full it becomes the old one."""
+        if len(self.known) + len(chunks) > MEMO:
+            self.older, self.known = self.known, {}
+        known, older, got = self.known, self.older, {}
+        split: list[tuple[str, str, str]] = []
+        todo: dict[str, bytes] = {}
+        for c in chunks:
+            ids = older.get(c)
+            if ids is not None:
+                known[c] = got[c] = ids
+                continue
+            # A letter and a full stop or comma are never in one split.
+            core, tail = c, ""
+            if core[-1:] in (".", ","):
+                bare = core.rstrip(".,")
+                if bare[-1:].lower().isalpha():
+                    core, tail = bare, core[len(bare) :]
+            split.append((c, core, tail))
+            for part in (core, tail):
+                if part and part not in todo and part not in known:
+                    todo[part] = older.get(part)
+        self._encode([p for p, ids in todo.items() if ids is None], todo)
+        for c, core, tail in split:
+            ids = todo.get(core) or known.get(core, b"")
+            got[c] = ids + (todo.get(tail) or known[tail]) if tail else ids
+        known.update((c, ids) for c, ids in todo.items() if len(c) <= 64)
+        known.update((c, got[c]) for c, core, tail in split if len(c) <= 64)
+        return got
+
+    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Plain words go as one text, cut again at the ids that end words; if these don't number the words, singly."""
+        plain = [w for w in words if w.isalpha()] if self.has_ends else []
+        if plain:
+            ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+            cuts = np.flatnonzero(self.ends[np.array(ids)]) + 1
+            if len(cuts) == len(plain) and cuts[-1] == len(ids):
+                data, at = array("I", ids).tobytes(), 0
+                for w, to in zip(plain, (cuts * 4).tolist()):
+                    into[w] = data[at:to]
+                    at = to
+            else:
+                plain = []
+        rest = [w for w in words if into.get(w) is None] if plain else words
+        into.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+
 
 def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:") else f"file://{uri}")

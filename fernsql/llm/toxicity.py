@@ -31,7 +31,7 @@ from .common import batches, crc32_mod, rows_of
 
 PREFIXES = (3, 4, 5, 6, 7)
 CHUNK = 64
-MEMO = 400_000
+MEMO = 200_000
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -66,11 +66,15 @@ class Field:
     def __setstate__(self, state):
         self.__init__(**state)
 
+    def forget(self) -> None:
+        """Drops the memo of words."""
+        self.known, self.scores, self.ends, self.lower = {}, [], [], []
+
     def emissions(self, docs: list[list[str]]) -> np.ndarray:
         """The score of state 1 over state 0 of every word of the documents, one after another."""
         words = [w for d in docs for w in d]
         if len(self.known) > MEMO:
-            self.known, self.scores, self.ends, self.lower = {}, [], [], []
+            self.forget()
         known = self.known
         ids = [known.get(w) for w in words]
         if None in ids:
@@ -286,7 +290,7 @@ def score(model: Field, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[i
     return out, spans
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 5, most_docs: int = 1500, most_chars: int = 20_000) -> Field:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 5, most_docs: int = 1500, most_chars: int = 12_000) -> Field:
     """Learns from labelled rows whose crc32(doc_id) mod modulus isn't 0."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (crc32_mod(F.col("doc_id"), modulus) != 0))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
@@ -315,6 +319,7 @@ def classify(docs: DataFrame, model: Field, modulus: int = 5) -> DataFrame:
                 s, spans = score(found, texts)
                 for (doc_id, held, _), x, runs, text in zip(rows, s.tolist(), spans, texts):
                     yield doc_id, held, x, int(x >= 0.5), offsets(text, runs)
+            found.forget()
 
         return batches(each(), schema)
 
@@ -333,6 +338,7 @@ def attach(docs: DataFrame, model: Field) -> DataFrame:
                 batch = whole.slice(low, 500)
                 s, _ = score(found, [t or "" for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "predicted"])
+        found.forget()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("predicted", IntegerType())]))
 

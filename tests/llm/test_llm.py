@@ -161,6 +161,23 @@ def test_url_aliases(spark):
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow"}
 
 
+def test_url_oracle_follows_links(spark):
+    import duckdb
+
+    link = '<LINK href="{}" rel="canonical">'
+    rows = [(0, "http://a.net/1", link.format("//B.net/2?x=1&amp;y=2")), (1, "http://b.net/2?x=1&y=2#top", "<meta http-equiv=refresh content='0; url=http://x.com/de/bad'>"), (2, "HTTP://x.com/fr/ok", link.format("http://a.net/1")), (3, "http://c.net/p/q", link.format("r")), (4, "http://c.net/p/r", None), (5, None, "x"), (6, "http://c.net", link.format("/p/r")), (7, "http://org/", link.format("http://org/#self"))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    from fernsql.llm.queries import oracle_sql
+
+    rel = con.sql(oracle_sql()["op3_urls"])
+    want = sorted(str(dict(zip(rel.columns, r))) for r in rel.fetchall())
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = urls.filter_urls(spark, pages, spark.createDataFrame(URL_RULES, "verdict string, rule string"))
+    assert sorted(str({c: r[c] for c in rel.columns}) for r in collected(found)) == want
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]

@@ -6,7 +6,7 @@ A search takes the terms of the test items, and in each segment intersects their
 place in the phrase, starting from the term with the fewest. Documents lie whole in one segment, so a segment
 answers alone; nothing but the postings of wanted terms moves, and no term's postings ever meet in one task.
 
-Items come in blocks of at most ``block_items``, so what goes to each task has a fixed bound of items.
+Items come in blocks of about ``block_words`` words, so what goes to each task has a fixed bound.
 Nulls have no words. Rows of one doc_id are separate documents. Items without words never match. Ties: rows of
 one item_id are separate phrases of the same item. An empty table of items leaves all documents clean.
 """
@@ -14,6 +14,7 @@ one item_id are separate phrases of the same item. An empty table of items leave
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +100,24 @@ def build_index(docs: DataFrame, gap: int, segment_tokens: int = SEGMENT_TOKENS)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "segment long, term binary, n long, postings binary, doc_ids array<bigint>, firsts array<bigint>")
 
 
-def phrases(items: DataFrame, window: int) -> list[tuple[str, list[list[bytes]]]]:
-    """Each item's id as text, and its windows of words (an item of fewer words: all of them)."""
-    out = []
+def phrase_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items as (id as text, words), in blocks of about block_words words.
+
+    A longer item comes in pieces that overlap by a window less one word, so that no window is lost or made.
+    """
+    block: list[tuple[str, list[bytes]]] = []
+    held = 0
     for item_id, text in items.selectExpr("cast(item_id as string) item_id", "text").toLocalIterator():
-        if w := words(text):
-            out.append((item_id, w))
-    return out
+        w = words(text)
+        for at in range(0, max(1, len(w) - window + 1) if w else 0, block_words):
+            piece = w[at : at + block_words + window - 1]
+            block.append(("" if item_id is None else item_id, piece))
+            held += len(piece)
+            if held >= block_words:
+                yield block
+                block, held = [], 0
+    if block:
+        yield block
 
 
 def _occurrences(lists: list[np.ndarray], slop: int) -> np.ndarray:
@@ -135,7 +147,7 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int,
     coded = [(name, np.array([number[w] for w in ws])) for name, ws in items]
     spark = index.sparkSession
     terms = spark.createDataFrame([(bytearray(b""),), *((bytearray(w),) for w in wanted)], "term binary")
-    # The terms of one block of items: bounded by block_items and, through the table's item size, checked in find().
+    # The terms of one block: block_words at most.
     rows = index.join(F.broadcast(terms), "term", "left_semi")
     schema = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("at", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
@@ -190,17 +202,15 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int,
     return rows.groupBy("segment").applyInArrow(run, "doc_id long, segment long, at long, n_words long, hits array<bigint>, items array<string>")
 
 
-def find(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, block_items: int = 2000) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, block_words: int = 200_000) -> DataFrame:
     """(doc_id, n_words, hits, items) of every document; see ``search``. Item ids are sorted as text, distinct."""
     scratch = Scratch(spark, "decontam")
     index = scratch.save(build_index(docs, window + slop), "index")
-    every = [(n, w) for n, w in phrases(items, window)]
-    found = [search(index, every[at : at + block_items], window, slop) for at in range(0, max(1, len(every)), block_items)]
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "hits", F.array_sort(F.array_distinct("items")).alias("items"))
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.unionAll(f)
+    found = [scratch.save(search(index, block, window, slop), f"found{i}") if i else search(index, block, window, slop) for i, block in enumerate(phrase_blocks(items, window, block_words))]
+    if len(found) <= 1:
+        only = found[0] if found else search(index, [], window, slop)
+        return only.select("doc_id", "n_words", "hits", F.array_sort(F.array_distinct("items")).alias("items"))
+    merged = reduce(DataFrame.unionAll, found)
     both = merged.groupBy("segment", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return _merge(both)
 

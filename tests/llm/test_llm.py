@@ -343,14 +343,14 @@ def brute_hits(rows, items, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block, segment", [(2000, 750_000), (3, 200)])
+@pytest.mark.parametrize("block, segment", [(200_000, 750_000), (15, 200)])
 def test_decontamination(spark, block, segment, monkeypatch):
     monkeypatch.setattr(decontam.build_index, "__defaults__", (segment,))
     rows = made(n=40) + [r for r in ODD if r[0] != 8] + [(700, "the the the the " * 9)]
     items = [(1, rows[2][1]), (2, "Short one"), (2, " ".join(rows[5][1].split()[:12])), (3, None), (4, "the the the the the the the the the the the"), (5, ""), (10, "say: short, ONE!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows.append((701, "a short one; say short one"))
-    got = Counter(tuple(r.values()) for r in collected(decontam.digests(decontam.find(spark, table(spark, rows), bench, block_items=block))))
+    got = Counter(tuple(r.values()) for r in collected(decontam.digests(decontam.find(spark, table(spark, rows), bench, block_words=block))))
     assert got == brute_hits(rows, items, 10)
 
 

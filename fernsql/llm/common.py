@@ -114,6 +114,19 @@ def rows_of(batch_iter: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
 
 
+def groups(rows: Iterator[tuple], most_chars: int = 200_000, most_rows: int = 200) -> Iterator[list[tuple]]:
+    """Lists of rows whose last columns, the texts, come to about most_chars characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "")
+        if size >= most_chars or len(held) >= most_rows:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def keyed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(uid long, key, text): uid is unique and in the order of (key, text), nulls first.
 

@@ -32,11 +32,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import FOLD, Scratch, batches, rows_of
+from .common import FOLD, Scratch, batches, groups, rows_of
 
 MAGIC = b"TOKSHARD"
 HEADER = "<8sIIQQ32s"
@@ -44,6 +44,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("offset",
 NULL_ID = -(1 << 63)
 #: Chunks in each of the two generations of a worker's memo.
 MEMO = 900_000
+#: Ranges of ids at most, and bytes of frames after which a shard is closed.
+MOST_RANGES, SHARD_BYTES = 10_000, 64 << 20
 #: Rows whose ids train the dictionary, and the most bytes of ids taken of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 112_640
 
@@ -63,7 +65,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.has_ends = bool(suffix)
+        self.plain = None if whole else plain_tokenizer(path)
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
@@ -77,64 +79,88 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What the memo lacks of all texts is encoded at once."""
         if self.whole:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not any(mark in text for mark in self.marks):  # the normaliser folds case, but not within special tokens
-            text = text.encode().translate(FOLD).decode()
-        chunks, known = text.replace("\n", " ").split(" "), self.known
-        out = list(map(known.get, chunks))
-        if None in out:
-            new = self._learn({c for c, ids in zip(chunks, out) if ids is None})
-            out = [new[c] if ids is None else ids for c, ids in zip(chunks, out)]
-        return b"".join(out)
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        get, out, lacking = self.known.get, [], set()
+        for text in texts:
+            if not any(mark in text for mark in self.marks):  # the normaliser folds case, but not within special tokens
+                text = text.encode().translate(FOLD).decode()
+            chunks = text.replace("\n", " ").split(" ")
+            ids = list(map(get, chunks))
+            if None in ids:
+                lacking.update([c for c, i in zip(chunks, ids) if i is None])
+                out.append((chunks, ids))
+            else:
+                out.append((None, ids))
+        new = self._learn(lacking) if lacking else {}
+        return [b"".join(ids) if chunks is None else b"".join([new[c] if i is None else i for c, i in zip(chunks, ids)]) for chunks, ids in out]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that the young generation lacks. Once that is full it becomes the old one."""
         if len(self.known) + len(chunks) > MEMO:
             self.older, self.known = self.known, {}
         known, older, got = self.known, self.older, {}
-        split: list[tuple[str, str, str]] = []
-        todo: dict[str, bytes] = {}
+        todo: dict[str, bytes | None] = {}
+        tails: list[tuple[str, str, str]] = []
         for c in chunks:
             ids = older.get(c)
             if ids is not None:
                 known[c] = got[c] = ids
-                continue
-            # A letter and a full stop or comma are never in one split.
-            core, tail = c, ""
-            if core[-1:] in (".", ","):
-                bare = core.rstrip(".,")
-                if bare[-1:].lower().isalpha():
-                    core, tail = bare, core[len(bare) :]
-            split.append((c, core, tail))
-            for part in (core, tail):
-                if part and part not in todo and part not in known:
-                    todo[part] = older.get(part)
+            elif c[-1:] in (".", ",") and (core := c.rstrip(".,"))[-1:].lower().isalpha():
+                # A letter and a full stop or comma are never in one split.
+                tail = c[len(core) :]
+                tails.append((c, core, tail))
+                for part in (core, tail):
+                    if part not in known:
+                        todo[part] = older.get(part)
+            else:
+                todo[c] = None
         self._encode([p for p, ids in todo.items() if ids is None], todo)
-        for c, core, tail in split:
-            ids = todo.get(core) or known.get(core, b"")
-            got[c] = ids + (todo.get(tail) or known[tail]) if tail else ids
-        known.update((c, ids) for c, ids in todo.items() if len(c) <= 64)
-        known.update((c, got[c]) for c, core, tail in split if len(c) <= 64)
+        got.update(todo)
+        for c, core, tail in tails:
+            todo[c] = got[c] = (got.get(core) or known[core]) + (got.get(tail) or known[tail])
+        if all(len(c) <= 64 for c in todo):
+            known.update(todo)
+        else:
+            known.update((c, ids) for c, ids in todo.items() if len(c) <= 64)
         return got
 
     def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
         """Plain words go as one text, cut again at the ids that end words; if these don't number the words, singly."""
-        plain = [w for w in words if w.isalpha()] if self.has_ends else []
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0250" and w == w.lower()] if self.plain else []
         if plain:
-            ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+            ids = self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
             cuts = np.flatnonzero(self.ends[np.array(ids)]) + 1
             if len(cuts) == len(plain) and cuts[-1] == len(ids):
                 data, at = array("I", ids).tobytes(), 0
                 for w, to in zip(plain, (cuts * 4).tolist()):
                     into[w] = data[at:to]
                     at = to
-            else:
-                plain = []
         rest = [w for w in words if into.get(w) is None] if plain else words
         into.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
 
 
+def plain_tokenizer(path: str) -> Tokenizer | None:
+    """The tokenizer without its normaliser and splits, which leave a lower-case Latin word of letters as it is.
+
+    Such a letter is one composed character, so form C keeps it. None if the tokenizer has other steps or no ends of words.
+    """
+    out = Tokenizer.from_file(path)
+    spec = json.loads(out.to_str())
+    normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [x["type"] for x in normal.get("normalizers", [normal])]
+    splits = [x["type"] for x in split.get("pretokenizers", [split])]
+    if not spec["model"].get("end_of_word_suffix") or not set(steps) <= {"NFC", "Replace", "Lowercase"} or splits != ["Split", "ByteLevel"]:
+        return None
+    out.normalizer = None
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
 def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:") else f"file://{uri}")
 
@@ -171,18 +197,21 @@ def _pack(ids: bytes, end_id: int, width: int) -> bytes:
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, uri: str, shard_rows: int = 4096, level: int = 3, whole: bool = False) -> DataFrame:
-    """Writes shards to the folder at uri; returns (shard int, documents long, tokens long)."""
+    """Writes shards to the folder at uri; returns (shard long, documents long, tokens long).
+
+    A range of ids is sorted in one task, which may spill, and written in shards of at most shard_rows documents.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 65536 and end_id < 65536 else 4
     dictionary = train_dictionary(docs, tokenizer_path, end_id, width, whole)
     hashed = hashlib.sha256(dictionary).digest()
     write_file(uri, f"{hashed.hex()}.zdict", dictionary)
     n = docs.select("doc_id").count()
-    shards = max(1, -(-n // shard_rows))
-    # Bounds of the shards from the ids alone; where they fall changes no result.
-    shares = [i / shards for i in range(1, shards)]
-    bounds = np.array(sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", shares, 0.1 / shards)}) if shares else [], np.int64)
-    schema = pa.schema([("shard", pa.int32()), ("o", pa.int64()), ("text_hash", pa.string()), ("n", pa.int64()), ("frame", pa.binary())])
+    ranges = max(1, min(MOST_RANGES, -(-n // shard_rows)))
+    # Bounds of the ranges from the ids alone; where they fall changes no result.
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = np.array(sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", shares, 0.1 / ranges)}) if shares else [], np.int64)
+    schema = pa.schema([("part", pa.int32()), ("o", pa.int64()), ("text_hash", pa.string()), ("n", pa.int64()), ("frame", pa.binary())])
     # The dictionary has a fixed size, so it goes with the function.
 
     def compress(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,39 +219,47 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
         z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
 
         def each() -> Iterator[tuple]:
-            for doc_id, text in rows_of(part, "doc_id", "text"):
-                data = _pack(encoder.encode(text or ""), end_id, width)
-                o = NULL_ID if doc_id is None else doc_id
-                yield int(np.searchsorted(bounds, o, "right")), o, (text or "")[:16], len(data) // width, z.compress(data)
+            for rows in groups(rows_of(part, "doc_id", "text")):
+                texts = [t or "" for _, t in rows]
+                for (doc_id, _), text, ids in zip(rows, texts, encoder.encode_all(texts)):
+                    data = _pack(ids, end_id, width)
+                    o = NULL_ID if doc_id is None else doc_id
+                    yield int(np.searchsorted(bounds, o, "right")), o, text[:16], len(data) // width, z.compress(data)
 
         return batches(each(), schema)
 
-    frames = docs.mapInArrow(compress, "shard int, o long, text_hash string, n long, frame binary")
-    placed = frames.repartition(shards, "shard").sortWithinPartitions("shard", "o", "text_hash", "n", "frame")
-    out = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
+    frames = docs.mapInArrow(compress, "part int, o long, text_hash string, n long, frame binary")
+    placed = frames.repartition(ranges, "part").sortWithinPartitions("part", "o", "text_hash", "n", "frame")
+    out = pa.schema([("shard", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def write(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, held, now = [], [], None
+        done, held, now, made, size = [], [], None, 0, 0
 
         def close() -> None:
             entries = np.array([(o, 0, n, 0, len(f)) for o, n, f in held], ENTRY)
             entries["start"] = np.cumsum(entries["n"]) - entries["n"]
             entries["offset"] = struct.calcsize(HEADER) + np.cumsum(entries["size"]) - entries["size"]
             body = b"".join(f for _, _, f in held)
-            write_file(uri, f"{now:08d}.tok", struct.pack(HEADER, MAGIC, 1, width, len(held), struct.calcsize(HEADER) + len(body), hashed) + body + entries.tobytes())
-            done.append((now, len(held), int(entries["n"].sum())))
-
-        for shard, o, n, frame in rows_of(part, "shard", "o", "n", "frame"):
-            if shard != now:
-                if held:
-                    close()
-                held, now = [], shard
+            shard = (now << 24) + made
+            write_file(uri, file_name(shard), struct.pack(HEADER, MAGIC, 1, width, len(held), struct.calcsize(HEADER) + len(body), hashed) + body + entries.tobytes())
+            done.append((shard, len(held), int(entries["n"].sum())))
+
+        for range_, o, n, frame in rows_of(part, "part", "o", "n", "frame"):
+            if held and (range_ != now or len(held) >= shard_rows or size >= SHARD_BYTES):
+                close()
+                held, size, made = [], 0, made + 1 if range_ == now else 0
+            now = range_
             held.append((o, n, frame))
+            size += len(frame)
         if held:
             close()
         return batches(iter(done), out)
 
-    return Scratch(spark, "shards").save(placed.mapInArrow(write, "shard int, documents long, tokens long"), "manifest")
+    return Scratch(spark, "shards").save(placed.mapInArrow(write, "shard long, documents long, tokens long"), "manifest")
+
+
+def file_name(shard: int) -> str:
+    return f"{shard >> 24:06d}-{shard & 0xFFFFFF:06d}.tok"
 
 
 class Shard:
@@ -230,7 +267,7 @@ class Shard:
 
     def __init__(self, uri: str, shard: int):
         fs, root = open_fs(uri)
-        self.file = fs.open_input_file(f"{root}/{shard:08d}.tok")
+        self.file = fs.open_input_file(f"{root}/{file_name(shard)}")
         magic, version, self.width, count, at, self.hash = struct.unpack(HEADER, self.file.read_at(struct.calcsize(HEADER), 0))
         if magic != MAGIC or version != 1:
             raise ValueError(f"shard {shard} has another format")
@@ -254,13 +291,14 @@ class Shard:
 
 def read_shards(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard) of every document, from the files."""
-    rows = sorted(manifest.collect())  # one row a shard
-    before, table = 0, []
-    for shard, _, tokens in rows:
-        table.append((shard, before))
-        before += tokens
-    todo = spark.createDataFrame(table, "shard int, before long").repartition(max(1, len(table)), "shard")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int32())])
+    # Sums before each range of ids (MOST_RANGES rows at most), and before each shard within its range.
+    part = F.shiftright("shard", 24)
+    ranges = manifest.groupBy(part.alias("part")).agg(F.sum("tokens").alias("tokens"))
+    first = ranges.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = manifest.withColumn("part", part).withColumn("within", within).join(F.broadcast(first), "part")
+    todo = placed.select("shard", (F.col("first") + F.col("within")).alias("before")).repartition(max(1, min(MOST_RANGES, manifest.count())), "shard")
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int64())])
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -272,7 +310,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame
 
         return batches(each(), schema)
 
-    return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def encode_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import batches, crc32_mod, rows_of
+from .common import batches, crc32_mod, groups, rows_of
 
 PREFIXES = (3, 4, 5, 6, 7)
 CHUNK = 64
@@ -314,7 +314,7 @@ def classify(docs: DataFrame, model: Field, modulus: int = 5) -> DataFrame:
         found = shared.value
 
         def each() -> Iterator[tuple]:
-            for rows in _groups(rows_of(part, "doc_id", "held_out", "text")):
+            for rows in groups(rows_of(part, "doc_id", "held_out", "text"), 2_000_000, 2000):
                 texts = [t or "" for _, _, t in rows]
                 s, spans = score(found, texts)
                 for (doc_id, held, _), x, runs, text in zip(rows, s.tolist(), spans, texts):
@@ -352,15 +352,3 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[int]:
     if len(places) != len(text.split()):
         places = [m.span() for m in re.finditer("[^\\s\x1c-\x1f]+", text)]
     return [x for a, b in runs for x in (places[a][0], places[b - 1][1])]
-
-
-def _groups(rows: Iterator[tuple], most_chars: int = 2_000_000) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[2] or "")
-        if size >= most_chars or len(held) >= 2000:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held

@@ -35,7 +35,7 @@ from .common import Scratch, batches, keyed, rows_of
 
 GRAM = 16
 #: Text bytes to a range of keys, and suffixes to a sort, about.
-PART_BYTES, SORT_BYTES = 12 << 20, 3 << 20
+PART_BYTES, SORT_BYTES = 12 << 20, 3 << 19
 #: Runs that a task holds before it sends them on.
 FLUSH_RUNS = 150_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -76,7 +76,7 @@ def _sliding(a: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def runs_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run: first window, window after the last, key, and whether the key's substring stands in it twice."""
+    """Of each run: first window, window after the last, key, and whether the least substring stands in it twice."""
     b = np.frombuffer(data, np.uint8)
     width = length - GRAM + 1
     h = _mix(rolling(b, GRAM))
@@ -93,7 +93,8 @@ def runs_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     of = np.repeat(np.arange(len(start)), count)
     idx = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[of]
     twice = np.bincount(of[h[at[idx]] == key[of]], minlength=len(start)) > 1
-    return start, end, key, twice
+    # Minima crowd at the low end; mixed again they are even, so that ranges of keys are alike.
+    return start, end, _mix(key ^ np.uint64(MULTIPLIER)), twice
 
 
 def units(data: bytes, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def unpack(blob: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
 
 def _names(key: np.ndarray, top: int) -> np.ndarray:
     """Ranks from 1 of the keys, equal for equal ones."""
-    if top <= 1 << 25:
+    if top <= 8 * len(key):
         there = np.zeros(top, bool)
         there[key] = True
         return np.cumsum(there, dtype=np.int32)[key].astype(np.int64)
@@ -170,7 +171,9 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
         pairs = int(pair.max()) + 1
     triple, triples = _joined(pair, t[sample + 2], top)
     name = _names(triple, triples)
+    del pair, triple
     order = np.argsort(name) if int(name.max()) == len(name) else suffix_order(name)
+    del name
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     ranks = len(sample) + 1
@@ -363,7 +366,7 @@ def _sorted_repeats(docs: DataFrame, plan: DataFrame, length: int) -> DataFrame:
                     a, n = r["start"], r["n"]
                     held.append(((r["key"] & 0xFFFFFFFFFFFFFFFF) * 0xD6E8FEB86659FD93 % (1 << 64) * parts >> 64, uid, a, n, data[a : a + n + length - 1]))
                     size += n + length - 1
-                if size >= 16 << 20:
+                if size >= 8 << 20:
                     yield from batches(flush(), packed, 16)
                     held, size = [], 0
         if held:

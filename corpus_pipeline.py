@@ -17,19 +17,17 @@ from fernsql.llm.queries import BYTE_BPE, PATTERN
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity field predicts to be toxic."""
     model = toxicity.fit(spark, docs, read(spark, sf_dir, "labels"))
-    return toxicity.attach(docs, model).filter("predicted = 0").drop("predicted")
+    return toxicity.attach(docs, model).filter("__predicted = 0").drop("__predicted")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the row of the smallest doc_id (of equal ids, one)."""
+    """Keeps of each group of near duplicates the row of the smallest doc_id (of equal ids, one), and rows without id."""
     found = simhash.near_duplicates(spark, docs)
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi")
-    # Groups of null ids only have no smallest id; their rows stay.
-    loose = found.filter("component_id is null").limit(1).count()
     if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")) if loose else kept
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,12 +22,12 @@ from fernsql.llm import bpe, common, components, decontam, fingerprints, katz, l
 from fernsql.llm.queries import BYTE_BPE, PATTERN, URL_RULES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, windows int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, windows int, predicted int, uid string"
 
 
 def table(spark, rows):
     """Documents with extra columns whose names the operators use themselves."""
-    return spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t), "x", 1) for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t), "x", 1, 2, "u") for d, t in rows], SCHEMA)
 
 
 def made(seed=3, n=60):
@@ -457,7 +457,7 @@ def test_toxicity_odd_rows(spark):
     hit = next(r for r in got if r["doc_id"] == 50)
     assert hit["predicted"] == 1 and hit["spans"][-1] == len("what an idiot scum")
     kept = toxicity.attach(table(spark, rows), model)
-    assert kept.columns == [*table(spark, rows).columns, "predicted"] and kept.count() == len(rows)
+    assert kept.columns == [*table(spark, rows).columns, "__predicted"] and kept.count() == len(rows)
     assert toxicity.train(["a"], [0]).doc is None
     assert [r["score"] for r in collected(toxicity.classify(table(spark, rows[:2]), toxicity.train(["a"], [0])))] == [0.0, 0.0]
 

@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, SimHash near-dedup, suffix-array dedup, decontamination, byte-level BPE.
+"""The corpus pipeline: toxicity, near-dedup, suffix-array dedup, decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. A stage's
 result is written as Parquet and read again as the next one's docs.
@@ -9,11 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernsql.llm import bpe, decontam, simhash, suffixes, toxicity
+from fernsql.llm import bpe, decontam, resemblance, suffixes, toxicity
 from fernsql.llm.common import Scratch, read
 from fernsql.llm.queries import BYTE_BPE, PATTERN
 
 
+def with_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a unique number __row: the id where ids are unique and not null, else written with the rows."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    if not ids.filter("doc_id is null or count > 1").limit(1).count():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    return Scratch(spark, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity field predicts to be toxic."""
     model = toxicity.fit(spark, docs, read(spark, sf_dir, "labels"))
@@ -21,13 +29,12 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the row of the smallest doc_id (of equal ids, one), and rows without id."""
-    found = simhash.near_duplicates(spark, docs)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each group of near copies (five-word Jaccard of 0.8 or more): the smallest doc_id's, nulls last."""
+    rows = with_rows(spark, docs)
+    found = resemblance.groups(spark, rows.select(F.col("__row").alias("row"), "text"))
+    ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    best = found.join(ids, "row").groupBy("root").agg(F.min(F.struct("none", "doc_id", "row")).alias("best"))
+    return rows.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,142 @@
+"""Near copies by the Jaccard similarity of five-word shingles.
+
+Words are cut and folded as in ``simhash``; a text of fewer words has its sequence as its only shingle, one without
+words (or null) has none. Shingles meet by 64-bit hashes. Rows with the same set of shingles are copies and meet as one.
+Two sets are linked if they share ``least`` of their union; groups are what the links connect.
+
+Candidates come from min-hashes: sets that agree in all ROWS min-hashes of one of BANDS bands. A pair at 0.8 is missed
+with probability (1 - 0.8 ** ROWS) ** BANDS, 0.00005, a closer one more rarely. Bands are stars around their least set,
+so candidates grow with the rows only; what the stars connect is compared exactly, each pair of it that isn't connected
+already. A large candidate group is cut in pieces of about PIECE shingles, each pair of pieces a unit of its own.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import FOLD, Scratch, batches, rows_of
+from .components import connected_components
+
+U = np.uint64
+BANDS, ROWS = 25, 5
+FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * ROWS).astype(U) * U(2) + U(1)
+PIECE = 1_000_000
+STEP = 1 << 11
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
+    return (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    words = (text or "").encode().translate(FOLD).split()
+    if not words:
+        return np.zeros(0, U)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
+    take = min(size, len(w))
+    x = np.full(len(w) - take + 1, take, U)
+    for i in range(take):
+        x = _mix(x + w[i : len(w) - take + 1 + i])
+    return np.unique(x)
+
+
+def band_keys(x: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's min-hashes."""
+    least = np.full(len(FACTORS), ~U(0))
+    for at in range(0, len(x), STEP):
+        np.minimum(least, np.multiply.outer(FACTORS, x[at : at + STEP]).min(1), out=least)
+    key = np.arange(BANDS, dtype=U)
+    for i in range(ROWS):
+        key = _mix(key + least[i::ROWS])
+    return key
+
+
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(row, whole, n, bands) of docs (row, text): the set's own hash, its size and its keys, none for an empty set."""
+    schema = pa.schema([("row", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for row, text in rows_of(part, "row", "text"):
+                x = shingles(text)
+                yield row, _signed(xxhash.xxh64_intdigest(x.tobytes())), len(x), band_keys(x).view(np.int64) if len(x) else []
+
+        return batches(each(), schema, 2000)
+
+    return docs.select("row", "text").mapInArrow(run, "row long, whole long, n long, bands array<bigint>")
+
+
+def connect(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links (places in sets) that connect what all pairs of a similarity of at least ``least`` connect."""
+    sizes = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    left, mark = np.arange(len(sets)), np.zeros(len(names), bool)
+    rest = flat
+    while len(left):
+        queue = [left[0]]
+        rest, left = rest[sizes[left[0]] :], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            own = flat[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            n = sizes[left]
+            both = np.add.reduceat(mark[rest], np.cumsum(n) - n, dtype=np.int64)
+            mark[own] = False
+            # The quotient of whole numbers, as a direct comparison with the definition has it.
+            near = both / (n + sizes[x] - both) >= least
+            if near.any():
+                found = left[near]
+                rest, left = rest[np.repeat(~near, n)], left[~near]
+                queue.extend(found)
+                yield from ((int(x), int(y)) for y in found)
+
+
+def _links(members: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between sets; members (component, whole, row, n) are the candidates."""
+    sizes = members.groupBy("component").agg(F.sum("n").alias("all")).select("component", F.ceil(F.col("all") / PIECE).cast("int").alias("cuts"))
+    cut = members.join(sizes, "component").withColumn("cut", F.pmod(F.xxhash64("whole"), F.col("cuts")).cast("int"))
+    other = F.explode(F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("cuts") - 1), F.col("cut"))))
+    units = docs.select("row", "text").join(cut, "row").withColumn("other", other).select("component", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "whole", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for _, unit in itertools.groupby(rows_of(part, "component", "i", "j", "whole", "text"), key=lambda r: r[:3]):
+                ids, sets = zip(*((r[3], shingles(r[4])) for r in unit))
+                for x, y in connect(list(sets), least):
+                    yield ids[x], ids[y]
+
+        return batches(each(), schema)
+
+    return units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def groups(spark: SparkSession, docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(row, root) of docs (row unique long, text): rows of one root are one group of near copies."""
+    scratch = Scratch(spark, "resemblance")
+    signed = scratch.save(signatures(docs), "signed")
+    one = signed.groupBy("whole").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row"), F.min("n").alias("n"))
+    keys = scratch.save(one.filter("n > 0").select("whole", F.explode("bands").alias("band")), "keys")
+    stars = keys.groupBy("band").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).filter("least < most").select("band", "least")
+    edges = keys.join(stars, "band").filter("whole != least").select(F.col("whole").alias("a"), F.col("least").alias("b")).distinct()
+    candidates = connected_components(scratch.save(edges, "edges"), scratch)
+    first = signed.groupBy("whole").agg(F.min("row").alias("row"), F.min("n").alias("n"))
+    members = scratch.save(candidates.join(first, candidates.node == first.whole).select("component", "whole", "row", "n"), "members")
+    scratch.free("keys", "edges")
+    links = scratch.save(_links(members, docs, least), "links")
+    joined = connected_components(links, Scratch(spark, "resemblance-links"))
+    return signed.select("row", "whole").join(joined, F.col("whole") == F.col("node"), "left").select("row", F.coalesce("component", "whole").alias("root"))

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fernsql.llm import bpe, common, components, decontam, fingerprints, katz, licenses, simhash, suffixes, tokens, toxicity, urls
+from fernsql.llm import bpe, common, components, decontam, fingerprints, katz, licenses, resemblance, simhash, suffixes, tokens, toxicity, urls
 from fernsql.llm.queries import BYTE_BPE, PATTERN, URL_RULES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -543,3 +543,57 @@ def test_stages_keep_columns(spark, rows):
         assert docs.columns == table(spark, rows).columns
     docs = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert docs.count() <= len(rows)
+
+
+def five_word_sets(texts):
+    for t in texts:
+        w = (t or "").encode().translate(common.FOLD).split()
+        yield {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(texts):
+    """The least place of each text's group: five-word Jaccard of 0.8 or more, texts without words alike."""
+    sets = list(five_word_sets(texts))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("piece", [1_000_000, 400])
+def test_near_copies_against_brute_force(spark, piece, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(resemblance, "PIECE", piece)
+    rng = random.Random(8)
+    rows = made(n=30)
+    for base in range(8):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+        for k in range(6):
+            own = list(words)
+            for _ in range(k):
+                own[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((1000 + base * 10 + k, " ".join(own)))
+    rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "One  TWO")]
+    roots = brute_groups([t for _, t in rows])
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    assert any(roots[j] == i and (fps[i] ^ fps[j]).bit_count() > 3 for i, j in itertools.combinations(range(len(rows)), 2))
+    got = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows), ""))
+    assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in range(len(rows)) if roots[i] == i]
+
+
+def test_near_copies_of_the_test_data(spark):
+    import corpus_pipeline
+
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted(map(tuple, docs.select("doc_id", "text").collect()))
+    roots = brute_groups([t for _, t in rows])
+    got = collected(corpus_pipeline.one_of_each_group(spark, docs, ""))
+    assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in range(len(rows)) if roots[i] == i]

@@ -597,3 +597,12 @@ def test_near_copies_of_the_test_data(spark):
     roots = brute_groups([t for _, t in rows])
     got = collected(corpus_pipeline.one_of_each_group(spark, docs, ""))
     assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in range(len(rows)) if roots[i] == i]
+
+
+def test_near_copies_under_one_id(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, a), (5, a + " more"), (5, b), (6, b + " more")]
+    got = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows), ""))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(3, a), (5, b)])

@@ -43,10 +43,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark window."""
-    found = decontam.find(spark, docs, read(spark, sf_dir, "benchmark"))
-    bad = Scratch(spark, "contaminated").save(found.filter(F.size("hits") > 0).select("doc_id").distinct(), "ids")
-    return docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(bad, "doc_id", "left_anti").filter(F.col("doc_id").isNotNull()))
+    """Drops the rows that hold a benchmark window."""
+    rows = with_rows(spark, docs)
+    found = decontam.find(spark, rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    bad = Scratch(spark, "contaminated").save(found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("__row")), "rows")
+    return rows.join(bad, "__row", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -606,3 +606,16 @@ def test_near_copies_under_one_id(spark):
     rows = [(3, a), (5, a + " more"), (5, b), (6, b + " more")]
     got = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows), ""))
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(3, a), (5, b)])
+
+
+def test_stages_judge_rows_without_id(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = next(r["text"] for r in common.read(spark, sf, "benchmark").collect() if len(r["text"].split()) > 12)
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a), (None, a + " more"), (4, b), (None, b), (None, "alone"), (None, "so it says: " + item), (None, item + " at the end of some other text")]
+    one = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows[:5]), sf))
+    assert Counter((r["doc_id"], r["text"][:2]) for r in one) == Counter([(None, "a0"), (4, "b0"), (None, "al")])
+    clean = collected(corpus_pipeline.without_benchmark(spark, table(spark, rows), sf))
+    assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter(rows[:5])

@@ -120,10 +120,10 @@ def phrase_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[l
         yield block
 
 
-def _occurrences(lists: list[np.ndarray], slop: int) -> np.ndarray:
-    """Where the phrase begins: lists of token numbers by place, intersected from the shortest.
+def _occurrences(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the phrase begins, and its anchor word's token: lists of token numbers by place, intersected from the shortest.
 
-    With slop, each word may be up to so many tokens off its place, in any order.
+    With slop, the begin may lie before the document, the anchor doesn't; each word may be up to so many tokens off its place, in any order.
     """
     places = sorted(range(len(lists)), key=lambda i: len(lists[i]))
     found = lists[places[0]] - places[0]
@@ -133,7 +133,7 @@ def _occurrences(lists: list[np.ndarray], slop: int) -> np.ndarray:
         want, there = found + i, lists[i]
         k = np.searchsorted(there, want - slop)
         found = found[(k < len(there)) & (there[np.minimum(k, len(there) - 1)] <= want + slop)]
-    return found
+    return found, found + places[0]
 
 
 def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int, slop: int = 0) -> DataFrame:
@@ -164,6 +164,7 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int,
                 lists[number[name]] = np.cumsum(np.frombuffer(blobs[i].as_buffer(), "<u4"), dtype=np.int64)
         begins: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
+        doc_at: list[np.ndarray] = []
         of_item: list[tuple[str, np.ndarray]] = []
         there = np.zeros(len(number) + 1, bool)
         there[list(lists)] = True
@@ -171,17 +172,18 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], window: int,
             size = min(window, len(code))
             missing = np.concatenate([[0], np.cumsum(~there[code])])
             starts = np.flatnonzero(missing[size:] == missing[:-size])
-            got = [x for s in starts.tolist() if len(x := _occurrences([lists[c] for c in code[s : s + size].tolist()], slop))]
+            got = [x for s in starts.tolist() if len((x := _occurrences([lists[c] for c in code[s : s + size].tolist()], slop))[0])]
             if got:
-                x = np.concatenate(got)
+                x, anchor = (np.concatenate(a) for a in zip(*got))
+                doc_of = np.searchsorted(firsts, anchor, "right") - 1
                 begins.append(x - slop)
+                doc_at.append(doc_of)
                 lengths.append(np.full(len(x), size + 2 * slop))
-                of_item.append((name, np.unique(np.searchsorted(firsts, np.maximum(x, 0), "right") - 1)))
+                of_item.append((name, np.unique(doc_of)))
         hits: list[list[int]] = [[] for _ in doc_ids]
         found: list[list[str]] = [[] for _ in doc_ids]
         if begins:
-            b, n = np.concatenate(begins), np.concatenate(lengths)
-            doc = np.searchsorted(firsts, np.maximum(b + (slop if slop else 0), 0), "right") - 1
+            b, n, doc = np.concatenate(begins), np.concatenate(lengths), np.concatenate(doc_at)
             last = firsts[doc + 1] - gap
             e = np.minimum(b + n, last)
             b = np.maximum(b, firsts[doc])

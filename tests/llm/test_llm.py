@@ -619,3 +619,10 @@ def test_stages_judge_rows_without_id(spark):
     assert Counter((r["doc_id"], r["text"][:2]) for r in one) == Counter([(None, "a0"), (4, "b0"), (None, "al")])
     clean = collected(corpus_pipeline.without_benchmark(spark, table(spark, rows), sf))
     assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter(rows[:5])
+
+
+def test_proximity_anchor_near_the_start(spark):
+    docs = table(spark, [(1, "nothing here"), (2, "beta alpha gamma"), (3, "alpha gamma alpha gamma")]).coalesce(1)
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    found = {r["doc_id"]: (r["items"], r["hits"]) for r in collected(decontam.find(spark, docs, items, 3, slop=2))}
+    assert found == {1: ([], []), 2: (["1"], [0, 3]), 3: ([], [])}

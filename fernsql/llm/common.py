@@ -10,7 +10,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +87,14 @@ class Scratch:
             time.sleep(0.4)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 20_000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of bounded size from tuples in schema order."""
     held: list[tuple] = []
@@ -142,5 +149,22 @@ def keyed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     return scratch.save(docs.sparkSession.createDataFrame(numbered, f"uid long, {key} long, {text} string"), "keyed")
 
 
-def as_u64(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+#: Rows of one key that a task may take in a join, at least; hot keys are the few beyond.
+HOT_ROWS = 1_000_000
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with a table of unique keys; its column weight, the rows of the key, goes. total: the weights' sum at most.
+
+    A key of a thousandth of all rows or more (and HOT_ROWS) doesn't gather in one task: at most 1000 such keys
+    exist, so their rows of ``unique`` are broadcast and the rows that they meet stay where they are.
+    """
+    if total is None:
+        total = unique.agg(F.sum(weight)).first()[0] or 0
+    if total <= HOT_ROWS:
+        return rows.join(unique.drop(weight), keys, how)
+    hot = unique.filter(F.col(weight) >= max(HOT_ROWS, total / 1000)).drop(weight)
+    cold = unique.filter(F.col(weight) < max(HOT_ROWS, total / 1000)).drop(weight)
+    first = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return first.unionByName(rest)

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each round is a few aggregations and joins keyed by node; edges per node go down to one star edge. A hub's
-neighbours are never gathered: a star step needs their minimum only, which partial aggregation finds.
+neighbours are never gathered: a star step needs their minimum only, which partial aggregation finds, and which goes
+to a hub's edges where they are (``join_hot``).
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (u, v) rows with u > v."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One star step over at most n (u, v) rows with u > v."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).withColumn("m", F.least("m", "u"))
+    joined = join_hot(both, least, ["u"], "edges", total=2 * n)
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,12 +32,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     """
     now = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.save(now, "cc0")
-    seen = None
+    seen, n = None, now.count()
     for i in range(1, rounds + 1):
-        new = scratch.save(_star(_star(now, True), False), f"cc{i}")
+        # A large step leaves one edge for each, a small step one more for each of its nodes at most.
+        new = scratch.save(_star(_star(now, True, n), False, n), f"cc{i}")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch._remove(f"{scratch.root}/cc{i - 1}")
-        now = new
+        now, n = new, state[0]
         if state == seen:
             nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -326,8 +326,8 @@ def classify(docs: DataFrame, model: Field, modulus: int = 5) -> DataFrame:
     return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<int>")
 
 
-def attach(docs: DataFrame, model: Field) -> DataFrame:
-    """docs with a column __predicted (1: toxic), row by row, so that no key has to be joined."""
+def attach(docs: DataFrame, model: Field, name: str) -> DataFrame:
+    """docs with a new column of that name (1: toxic), row by row, so that no key has to be joined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -337,10 +337,10 @@ def attach(docs: DataFrame, model: Field) -> DataFrame:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
                 s, _ = score(found, [t or "" for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "__predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, name])
         found.forget()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__predicted", IntegerType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, IntegerType())]))
 
 
 def offsets(text: str, runs: list[tuple[int, int]]) -> list[int]:

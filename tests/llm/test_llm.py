@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fernsql.llm import bpe, common, components, decontam, fingerprints, katz, licenses, resemblance, simhash, suffixes, tokens, toxicity, urls
+from fernsql.llm import bpe, common, components, decontam, fingerprints, katz, licenses, pipeline, simhash, suffixes, tokens, toxicity, urls
 from fernsql.llm.queries import BYTE_BPE, PATTERN, URL_RULES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -197,9 +197,10 @@ def test_components_match_brute_force(spark):
 # SimHash
 
 
-@pytest.mark.parametrize("tile_rows", [4096, 3])
-def test_simhash_components(spark, tile_rows, monkeypatch):
-    monkeypatch.setattr(simhash.links, "__defaults__", (3, tile_rows))
+@pytest.mark.parametrize("blocks, rows_each, hot", [(None, None, 10**6), (4, 3, 2), (8, 2, 2)])
+def test_simhash_components(spark, blocks, rows_each, hot, monkeypatch):
+    monkeypatch.setattr(simhash.links, "__defaults__", (3, blocks, rows_each))
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = made(n=80) + [(500 + i, "w" + " same words here again and again" * 5 + f" {i % 3}") for i in range(9)] + ODD
     fps = [simhash.fingerprint(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -456,8 +457,8 @@ def test_toxicity_odd_rows(spark):
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     hit = next(r for r in got if r["doc_id"] == 50)
     assert hit["predicted"] == 1 and hit["spans"][-1] == len("what an idiot scum")
-    kept = toxicity.attach(table(spark, rows), model)
-    assert kept.columns == [*table(spark, rows).columns, "__predicted"] and kept.count() == len(rows)
+    kept = toxicity.attach(table(spark, rows), model, "toxic")
+    assert kept.columns == [*table(spark, rows).columns, "toxic"] and kept.count() == len(rows)
     assert toxicity.train(["a"], [0]).doc is None
     assert [r["score"] for r in collected(toxicity.classify(table(spark, rows[:2]), toxicity.train(["a"], [0])))] == [0.0, 0.0]
 
@@ -494,26 +495,14 @@ def test_licence_scan(spark, classifier):
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
-    import corpus_pipeline
-
     sf = "/root/testdata/sf0.001"
     docs = common.read(spark, sf, "documents")
     rows = sorted(map(tuple, docs.select("doc_id", "text").collect()))
     model = toxicity.fit(spark, docs, common.read(spark, sf, "labels"))
     scores, _ = toxicity.score(model, [t for _, t in rows])
     rows = [r for r, s in zip(rows, scores) if s < 0.5]
-    fps = [simhash.fingerprint(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 3:
-            parent[max(find(i), find(j))] = min(find(i), find(j))
-    rows = [r for i, r in enumerate(rows) if find(i) == i]
+    roots = brute_groups([t for _, t in rows])
+    rows = [r for i, r in enumerate(rows) if roots[i] == i]
     seen, kept = set(), []
     for d, t in rows:
         b = t.encode()
@@ -528,20 +517,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     clean = {k[0] for k in brute_hits(kept, items, 10) if not k[-1]}
     codec = bpe.Codec.load(BYTE_BPE, PATTERN)
     want = {d: hashlib.sha256(codec.encode_bytes(t)).hexdigest() for d, t in kept if d in clean}
-    got = corpus_pipeline.run(spark, sf)
+    got = pipeline.run(spark, sf)
     assert {r["doc_id"]: r["ids_sha256"] for r in collected(got)} == want
     assert 100 < len(want) < docs.count()
 
 
 @pytest.mark.parametrize("rows", [[], ODD + made(n=20)])
 def test_stages_keep_columns(spark, rows):
-    import corpus_pipeline
-
     docs = table(spark, rows)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         docs = common.Scratch(spark, "stage").save(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert docs.columns == table(spark, rows).columns
-    docs = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    docs = pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert docs.count() <= len(rows)
 
 
@@ -567,11 +554,10 @@ def brute_groups(texts):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("piece", [1_000_000, 400])
-def test_near_copies_against_brute_force(spark, piece, monkeypatch):
-    import corpus_pipeline
-
-    monkeypatch.setattr(resemblance, "PIECE", piece)
+@pytest.mark.parametrize("piece, rows_each", [(1_000_000, 4096), (400, 5)])
+def test_near_copies_against_brute_force(spark, piece, rows_each, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "PIECES", (rows_each, rows_each))
     rng = random.Random(8)
     rows = made(n=30)
     for base in range(8):
@@ -585,39 +571,33 @@ def test_near_copies_against_brute_force(spark, piece, monkeypatch):
     roots = brute_groups([t for _, t in rows])
     fps = [simhash.fingerprint(t) for _, t in rows]
     assert any(roots[j] == i and (fps[i] ^ fps[j]).bit_count() > 3 for i, j in itertools.combinations(range(len(rows)), 2))
-    got = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows), ""))
+    got = collected(pipeline.one_of_each_group(spark, table(spark, rows), ""))
     assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in range(len(rows)) if roots[i] == i]
 
 
 def test_near_copies_of_the_test_data(spark):
-    import corpus_pipeline
-
     docs = common.read(spark, "/root/testdata/sf0.01", "documents")
     rows = sorted(map(tuple, docs.select("doc_id", "text").collect()))
     roots = brute_groups([t for _, t in rows])
-    got = collected(corpus_pipeline.one_of_each_group(spark, docs, ""))
+    got = collected(pipeline.one_of_each_group(spark, docs, ""))
     assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in range(len(rows)) if roots[i] == i]
 
 
 def test_near_copies_under_one_id(spark):
-    import corpus_pipeline
-
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(3, a), (5, a + " more"), (5, b), (6, b + " more")]
-    got = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows), ""))
+    got = collected(pipeline.one_of_each_group(spark, table(spark, rows), ""))
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(3, a), (5, b)])
 
 
 def test_stages_judge_rows_without_id(spark):
-    import corpus_pipeline
-
     sf = "/root/testdata/sf0.001"
     item = next(r["text"] for r in common.read(spark, sf, "benchmark").collect() if len(r["text"].split()) > 12)
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(None, a), (None, a + " more"), (4, b), (None, b), (None, "alone"), (None, "so it says: " + item), (None, item + " at the end of some other text")]
-    one = collected(corpus_pipeline.one_of_each_group(spark, table(spark, rows[:5]), sf))
+    one = collected(pipeline.one_of_each_group(spark, table(spark, rows[:5]), sf))
     assert Counter((r["doc_id"], r["text"][:2]) for r in one) == Counter([(None, "a0"), (4, "b0"), (None, "al")])
-    clean = collected(corpus_pipeline.without_benchmark(spark, table(spark, rows), sf))
+    clean = collected(pipeline.without_benchmark(spark, table(spark, rows), sf))
     assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter(rows[:5])
 
 

@@ -1,68 +1,5 @@
-"""The corpus pipeline: toxicity, near-dedup, suffix-array dedup, decontamination, byte-level BPE.
+"""The corpus pipeline: STAGES, run(spark, sf_dir) and ORACLE_SQL, which are part of the subpackage llm."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. A stage's
-result is written as Parquet and read again as the next one's docs.
-"""
+from fernsql.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fernsql.llm import bpe, decontam, resemblance, suffixes, toxicity
-from fernsql.llm.common import Scratch, read
-from fernsql.llm.queries import BYTE_BPE, PATTERN
-
-
-def with_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a unique number __row: the id where ids are unique and not null, else written with the rows."""
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
-    if not ids.filter("doc_id is null or count > 1").limit(1).count():
-        return docs.withColumn("__row", F.col("doc_id").cast("long"))
-    return Scratch(spark, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-
-def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity field predicts to be toxic."""
-    model = toxicity.fit(spark, docs, read(spark, sf_dir, "labels"))
-    return toxicity.attach(docs, model).filter("__predicted = 0").drop("__predicted")
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (five-word Jaccard of 0.8 or more): the smallest doc_id's, nulls last."""
-    rows = with_rows(spark, docs)
-    found = resemblance.groups(spark, rows.select(F.col("__row").alias("row"), "text"))
-    ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").isNull().alias("none"), "doc_id")
-    best = found.join(ids, "row").groupBy("root").agg(F.min(F.struct("none", "doc_id", "row")).alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(docs.columns)
-
-
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated 100-byte strings out of the texts; n_chars follows. Split characters at a cut go whole."""
-    return suffixes.cut(spark, docs)
-
-
-def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that hold a benchmark window."""
-    rows = with_rows(spark, docs)
-    found = decontam.find(spark, rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    bad = Scratch(spark, "contaminated").save(found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("__row")), "rows")
-    return rows.join(bad, "__row", "left_anti").select(docs.columns)
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(docs, BYTE_BPE, PATTERN)
-
-
-STAGES = [("toxicity", keep_clean), ("simhash", one_of_each_group), ("suffixes", without_repeats), ("decontamination", without_benchmark), ("byte_bpe", encoded)]
-
-#: No stage before the last can be written in SQL; tests hold run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

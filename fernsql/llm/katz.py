@@ -1,17 +1,21 @@
 """Katz backoff language model.
 
-A text is its words and one end. P(w | h) is the Good-Turing discounted share of the pair (h, w) among the pairs of
-h if it was seen, else the weight of h times P(w); P(w) is the discounted share of w among all tokens, and what the
-discounts leave is the probability of the one class of all unseen words. The weight of h makes the probabilities of
-all words and that class after h sum to one: 1 less the seen pairs' shares, over 1 less their words' P. A context that
-isn't known has P(w | h) = P(w).
+A text is its words and one end. An n-gram of order m is a token and the m - 1 before it in its text; before a text's
+first token stands one start, so the first token has order two at most, the second three, and so on. P(w | h) is the
+Good-Turing discounted share of (h, w) among the n-grams with context h if it was seen, else the weight of h
+times P(w | h'), where h' lacks the first word of h, and so on down to P(w), the discounted share of w among all tokens;
+what the discounts leave there is the probability of the one class of all unseen words. The weight of h makes the
+probabilities of all words and that class after h sum to one: 1 less the seen shares, over 1 less the P of the same words
+after h'. A context that isn't known has P(w | h) = P(w | h').
 
 Everything is learned from all training rows. Texts are cut in blocks of about BLOCK_TOKENS tokens; a block's tokens are
-written once as numbers in a list of its distinct words. Then come three exchanges of the same form: blocks send
-sorted, packed distinct keys to key ranges; a range merges them, writes its part of the model's tables and answers
-each block in the order it asked. Words first (counts, numbers), pairs second (counts, and sums for each
-context), contexts last (weights). A frequent word is one entry of a block, a frequent context is spread by its
-pairs over all ranges of pairs; nothing grows with how often a key occurs.
+written once as numbers in a list of its distinct words. Then come exchanges of one form, one for each order: blocks
+send their sorted, packed distinct n-grams to ranges; a range merges them, writes its part of the model's tables
+(n-grams and counts; of contexts the sums that give their weights) and answers each block in the order it asked: counts,
+places, and the sums of its contexts. An n-gram is named by its range and place, so one of order m + 1 is a name and
+a word. A context lies in one range; one of over HOT_CONTEXT tokens is spread over as many as its count asks for, and
+its sums meet by a further exchange. A word or n-gram is one entry of a block however often it occurs. A block then
+evaluates its tokens from the lowest order up, which is the recursion read from its end.
 
 Words meet by their 64-bit XXH64. Null texts are empty: one end. A null id hashes as the empty text. Repeated rows
 each count. Without training rows all words are unseen and every probability is 1.
@@ -32,8 +36,10 @@ from .common import FOLD, Scratch, batches, rows_of
 from .suffixes import pack, unpack
 
 BLOCK_TOKENS = 1_000_000
-#: Entries of all blocks that a range of keys merges, about.
+#: Entries of all blocks that a range merges, about.
 RANGE_ENTRIES = 1_500_000
+#: Tokens of a context that lie in one range; a more frequent one is spread.
+HOT_CONTEXT = 400_000
 #: Counts up to this are discounted.
 K = 5
 #: Keys that no word has, as words hold no space.
@@ -42,7 +48,8 @@ ROWS = "block long, kind int, part int, blob binary"
 SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 U, I, D = np.uint64, np.int64, np.float64
 #: Kinds of rows.
-DOCS, SEQUENCE, WORDS, ASKED, ANSWER, STATS, TABLE, SUMS, PAIR_ANSWER, WEIGHT = range(10)
+DOCS, SEQUENCE, WORDS, ASKED, ASKED_HOT, ANSWER, STATS, TABLE, SUMS, CONTEXTS, HOT_ASKED, HOT_ANSWER = range(12)
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -65,6 +72,11 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype)
 
 
+def _heads(a: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, I)
+
+
 # Blocks -------------------------------------------------------------------------------------------------------
 
 
@@ -141,20 +153,23 @@ def _word_p(c: np.ndarray, model: dict) -> np.ndarray:
     """P(w) of words by their counts."""
     if not model["N"]:
         return np.ones(len(c))
-    return np.where(c > 0, model["d1"][np.minimum(c, K + 1)] * c / model["N"], model["unseen"])
+    return np.where(c > 0, model["d"][0][np.minimum(c, K + 1)] * c / model["N"], model["unseen"])
 
 
-# The three exchanges ------------------------------------------------------------------------------------------
+# Words --------------------------------------------------------------------------------------------------------
 
 
-def _slices(keys: np.ndarray, parts: int) -> list[int]:
-    """Cuts of sorted 64-bit keys at even ranges."""
-    return [*np.searchsorted(keys, np.array([((p << 64) + parts - 1) // parts for p in range(parts)], U)).tolist(), len(keys)]
+def _slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of the parts that sorted 64-bit keys have, by even ranges."""
+    part = ((keys >> U(32)) * U(parts) >> U(32)).astype(I)
+    heads = _heads(part)
+    return zip(part[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(part)])
 
 
-def _stats(c: np.ndarray) -> bytes:
-    r = c[c > 0]
-    return pack(np.array([r.sum(), len(r), *(np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2])], I))
+def _stats(counts: np.ndarray, places: int) -> bytes:
+    """Sum and number of the counts, how many are 1, 2 and so on, and how many places the range has."""
+    r = counts[counts > 0]
+    return pack(np.array([r.sum(), len(r), *(np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2]), places], I))
 
 
 def count_words(words: DataFrame, parts: int) -> DataFrame:
@@ -164,10 +179,8 @@ def count_words(words: DataFrame, parts: int) -> DataFrame:
         def each() -> Iterator[tuple]:
             for block, blob in rows_of(part, "block", "blob"):
                 (keys, c), _ = unpack(blob, [U, I])
-                cuts = _slices(keys, parts)
-                for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if b > a:
-                        yield block, ASKED, p, pack(keys[a:b], c[a:b])
+                for p, a, b in _slices(keys, parts):
+                    yield block, ASKED, p, pack(keys[a:b], c[a:b])
 
         return batches(each(), SCHEMA, 64)
 
@@ -181,202 +194,286 @@ def count_words(words: DataFrame, parts: int) -> DataFrame:
             mine = place[at : at + len(k)]
             at += len(k)
             rows.append((block, ANSWER, p, pack(c[mine], _deltas(mine.astype(I)))))
-        return _table([*rows, (0, STATS, p, _stats(c)), (0, TABLE, p, pack(keys, c))])
+        return _table([*rows, (0, STATS, p, _stats(c, len(keys))), (0, TABLE, p, pack(keys, c))])
 
     return words.select("block", "blob").mapInArrow(ask, ROWS).groupBy("part").applyInArrow(merge, ROWS)
 
 
-def _block_words(table, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and numbers of the block's words, from the answers."""
-    c, ids = [], []
-    for p, _, blob in _blobs(table, ANSWER):
-        (n, steps), _ = unpack(blob, [I, I])
-        c.append(n)
-        ids.append(_sums(steps) + offsets[p])
-    return np.concatenate(c), np.concatenate(ids)
-
-
-def _block_tokens(table) -> tuple:
-    """Documents and tokens of a block, and the word before each token."""
-    (doc_id, null, n, out), _ = unpack(_blobs(table, DOCS)[0][2], [I] * 4)
-    (seq,), body = unpack(_blobs(table, SEQUENCE)[0][2], [I])
-    start = int.from_bytes(body, "little")
-    before = np.concatenate([[start], seq[:-1]])
-    before[np.cumsum(n) - n] = start
-    return doc_id, null, n, out, seq, before
+# Blocks and their n-grams -------------------------------------------------------------------------------------
 
 
 def _spread(code: np.ndarray) -> np.ndarray:
     x = code.view(U) * U(0x9E3779B97F4A7C15)
     x ^= x >> U(31)
-    return x * U(0xBF58476D1CE4E5B9)
+    return (x * U(0xBF58476D1CE4E5B9)) >> U(32)
 
 
-def _pair_codes(table, offsets: np.ndarray) -> tuple:
-    """Distinct pairs of a block by places of their words, and where each token's pair is among them."""
-    c, ids = _block_words(table, offsets)
-    doc_id, null, n, out, seq, before = _block_tokens(table)
-    local, inverse = np.unique(before * len(ids) + seq, return_inverse=True)
-    h, w = local // len(ids), local % len(ids)
-    code = (ids[h] << 32) | ids[w]
-    return c, ids, doc_id, null, n, out, seq, inverse, h, w, code
-
+def _answers(table, level: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and names of a block's n-grams of a level, in the order of both."""
+    c, ids = [], []
+    for p, _, blob in _blobs(table, ANSWER + 100 * level):
+        (n, steps), _ = unpack(blob, [I, I])
+        c.append(n)
+        ids.append(_sums(steps) + (p << shift))
+    return (np.concatenate(c), np.concatenate(ids)) if c else (np.zeros(0, I), np.zeros(0, I))
+
+
+class Block:
+    """A block's tokens, and for each level its n-grams: counts, names, and which one ends at each token (-1: none)."""
+
+    def __init__(self, table, shifts: list[int]):
+        self.table, self.shifts = table, shifts
+        (self.doc_id, self.null, self.n, self.out), _ = unpack(_blobs(table, DOCS)[0][2], [I] * 4)
+        (self.seq,), body = unpack(_blobs(table, SEQUENCE)[0][2], [I])
+        self.start = int.from_bytes(body, "little")
+        self.place = np.arange(len(self.seq)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.trained = np.repeat(self.out == 0, self.n)
+        self.count, self.name = _answers(table, 1, shifts[0])
+        self.gram, self.words, self.word_count = self.seq, self.name, self.count
+
+    def grams(self, level: int, parts: int) -> dict:
+        """The distinct n-grams of the next level, in the order of their ranges and of context and word in these.
+
+        at: tokens that have one. of: which. context, word, lower: places among the contexts (n-grams of the level
+        before), words, and n-grams of the level before.
+        """
+        at = np.flatnonzero(self.place >= level - 2)
+        before = np.where(self.place[at] == 0, self.start, self.seq[at - 1]) if level == 2 else self.gram[at - 1]
+        unique, first, of = np.unique(before * len(self.words) + self.seq[at], return_index=True, return_inverse=True)
+        context, word = before[first], self.seq[at[first]]
+        total = self.count[context]
+        home = (_spread(self.name[context]) * U(parts) >> U(32)).astype(I)
+        hot = total > HOT_CONTEXT
+        part = home.copy()
+        part[hot] = (home[hot] + _spread(self.words[word[hot]]).astype(I) % -(-total[hot] // HOT_CONTEXT)) % parts
+        order = np.argsort(part * 2 + hot, kind="stable")
+        rank = np.empty(len(order), I)
+        rank[order] = np.arange(len(order))
+        return {"at": at, "of": rank[of], "context": context[order], "word": word[order], "lower": self.gram[at[first]][order], "part": part[order], "home": home[order], "hot": hot[order]}
+
+    def rise(self, level: int, grams: dict) -> None:
+        """Takes the answers of a level, whose n-grams are the contexts of the next."""
+        self.count, self.name = _answers(self.table, level, self.shifts[level - 1])
+        self.gram = np.full(len(self.seq), -1, I)
+        self.gram[grams["at"]] = grams["of"]
+
+
+def _hot_contexts(grams: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts that are spread, and their homes, in the order of homes."""
+    context, first = np.unique(grams["context"][grams["hot"]], return_index=True)
+    home = grams["home"][grams["hot"]][first]
+    order = np.argsort(home, kind="stable")
+    return context[order], home[order]
+
+
+def _pieces(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the runs of equal rows of the keys."""
+    if len(keys[0]):
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        heads = np.flatnonzero(new)
+        yield from zip(heads.tolist(), [*heads[1:].tolist(), len(new)])
+
+
+def ask_grams(rows: DataFrame, level: int, parts: list[int], shifts: list[int]) -> DataFrame:
+    """A block's n-grams for their ranges, and its hot contexts for their homes."""
 
-def count_pairs(rows: DataFrame, parts: int, offsets: np.ndarray) -> DataFrame:
-    """TABLE: pairs and counts of a range. SUMS for ranges of contexts. PAIR_ANSWER to each block. STATS."""
     def ask(key, table):
-        c, ids, _, _, n, out, _, inverse, h, w, code = _pair_codes(table, offsets)
-        r = np.bincount(inverse, np.repeat(out == 0, n), len(code)).astype(I)
-        to = (_spread(code) >> U(32)).astype(I) * parts >> 32
-        order = np.lexsort((code, to))
-        cuts = np.searchsorted(to[order], np.arange(parts + 1))
-        block, found = key[0].as_py(), []
-        for p in range(parts):
-            k = order[cuts[p] : cuts[p + 1]]
-            if len(k):
-                found.append((block, ASKED, p, pack(_deltas(code[k]), r[k], c[w[k]])))
+        block = Block(table, shifts)
+        for m in range(2, level):
+            block.rise(m, block.grams(m, parts[m - 1]))
+        g = block.grams(level, parts[level - 1])
+        r = np.bincount(g["of"], block.trained[g["at"]], len(g["part"])).astype(I)
+        low = np.where(r > 0, block.count[g["lower"]], 0)
+        context, word = block.name[g["context"]], block.words[g["word"]]
+        b, found = key[0].as_py(), []
+        for x, y in _pieces(g["part"], g["hot"]):
+            found.append((b, ASKED_HOT if g["hot"][x] else ASKED, int(g["part"][x]), pack(_deltas(context[x:y]), word[x:y], r[x:y], low[x:y])))
+        hot, home = _hot_contexts(g)
+        for x, y in _pieces(home):
+            found.append((b, HOT_ASKED, int(home[x]), pack(block.name[hot[x:y]])))
         return _table(found)
 
-    def merge(key, table):
-        asked = _blobs(table, ASKED)
-        got = [unpack(x, [I, I, I])[0] for _, _, x in asked]
-        codes, first, place = np.unique(np.concatenate([_sums(k) for k, _, _ in got]), return_index=True, return_inverse=True)
-        r = np.bincount(place, np.concatenate([n for _, n, _ in got]), len(codes)).astype(I)
-        c = np.concatenate([x for _, _, x in got])[first]
-        p, at, rows = key[0].as_py(), 0, []
-        for (_, block, _), (k, _, _) in zip(asked, got):
-            rows.append((block, PAIR_ANSWER, p, pack(r[place[at : at + len(k)]])))
-            at += len(k)
-        seen = r > 0
-        codes, r, c = codes[seen], r[seen], c[seen]
-        rows.append((0, STATS, p, _stats(r)))
-        if len(codes):
-            rows.append((0, TABLE, p, pack(_deltas(codes), r)))
-            h = codes >> 32
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            level = np.minimum(r, K + 1)
-            many = [np.add.reduceat(np.where(level == k, r, 0), heads) for k in range(1, K + 2)]
-            level = np.minimum(c, K + 1)
-            many += [np.add.reduceat(np.where(level == k, c, 0), heads) for k in range(1, K + 2)]
-            rows.append((0, SUMS, p, pack(_deltas(h[heads]), *many)))
-        return _table(rows)
+    return rows.groupBy("block").applyInArrow(ask, ROWS)
 
-    return rows.groupBy("block").applyInArrow(ask, ROWS).groupBy("part").applyInArrow(merge, ROWS)
 
+def _merged(got: list) -> tuple[np.ndarray, ...]:
+    """Distinct (context, word) of the asks, in their order, with summed counts; and the place of each entry."""
+    context, word, r, low = (np.concatenate([_sums(g[0]) if i == 0 else g[i] for g in got]) if got else np.zeros(0, I) for i in range(4))
+    if not len(context):
+        return context, word, r, low, context
+    top = int(word.max()) + 1
+    order = np.argsort(context * top + word) if int(context.max()) < (1 << 62) // top else np.lexsort((word, context))
+    a, b = context[order], word[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    heads = np.flatnonzero(new)
+    place = np.empty(len(order), I)
+    place[order] = np.cumsum(new) - 1
+    return a[heads], b[heads], np.add.reduceat(r[order], heads), np.maximum.reduceat(low[order], heads), place
 
-def weigh(sums: DataFrame, answers: DataFrame, parts: int, offsets: np.ndarray, model: dict) -> DataFrame:
-    """WEIGHT to each block: the divisor (0: not a known context) and the backoff weight of each of its words as context."""
-    words = int(offsets[-1])
 
-    def cuts(ids: np.ndarray) -> list[int]:
-        return np.searchsorted(ids, np.array([-(-p * words // parts) for p in range(parts + 1)], I)).tolist()
+def _context_sums(context: np.ndarray, r: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct contexts and, for each level of count, the sums of their seen n-grams' counts; then of the lower ones'."""
+    heads = _heads(context)
+    out = []
+    for c in (r, np.where(r > 0, low, 0)):
+        level = np.minimum(c, K + 1)
+        out += [np.add.reduceat(np.where(level == k, c, 0), heads) if len(heads) else np.zeros(0, I) for k in range(1, K + 2)]
+    return context[heads], out
 
-    def send(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in part:
-                for kind, blob in zip(batch.column(1).to_pylist(), batch.column(3)):
-                    h, *rest = unpack(blob.as_py(), [I] * (2 * K + 3))[0]
-                    h = _sums(h)
-                    at = cuts(h)
-                    for p, (a, b) in enumerate(zip(at, at[1:])):
-                        if b > a:
-                            yield 0, SUMS, p, pack(h[a:b], *(x[a:b] for x in rest))
 
-        return batches(each(), SCHEMA, 64)
+def count_grams(asked: DataFrame, parts: int) -> DataFrame:
+    """TABLE: n-grams and counts of a range. To each block: ANSWER (counts, places) and CONTEXTS (sums). SUMS of hot ones. STATS."""
 
-    def ask(key, table):
-        _, ids = _block_words(table, offsets)
-        at = cuts(ids)
-        return _table([(key[0].as_py(), ASKED, p, pack(_deltas(ids[a:b]))) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a])
+    def merge(key, table):
+        p, rows, sizes = key[0].as_py(), [(b, HOT_ASKED, p, x) for p, b, x in _blobs(table, HOT_ASKED)], 0
+        counts = []
+        answers: dict[int, list] = {}
+        for kind in (ASKED, ASKED_HOT):
+            asked = _blobs(table, kind)
+            got = [unpack(x, [I] * 4)[0] for _, _, x in asked]
+            context, word, r, low, place = _merged(got)
+            of, sums = _context_sums(context, r, low)
+            at = 0
+            for (_, block, _), g in zip(asked, got):
+                mine = place[at : at + len(g[0])]
+                at += len(g[0])
+                answers.setdefault(block, []).append((r[mine], mine + sizes))
+                if kind == ASKED:
+                    own = _sums(g[0])
+                    k = np.searchsorted(of, own[_heads(own)])
+                    rows.append((block, CONTEXTS, p, pack(*(x[k] for x in sums))))
+            sizes += len(context)
+            counts.append(r)
+            seen = r > 0
+            if seen.any():
+                rows.append((0, TABLE, p, pack(_deltas(context[seen]), word[seen], r[seen])))
+            if kind == ASKED_HOT and len(of):
+                home = (_spread(of) * U(parts) >> U(32)).astype(I)
+                order = np.argsort(home, kind="stable")
+                for x, y in _pieces(home[order]):
+                    rows.append((0, SUMS, int(home[order[x]]), pack(of[order[x:y]], *(s[order[x:y]] for s in sums))))
+        for block, found in answers.items():
+            r, place = (np.concatenate(x) for x in zip(*found))
+            rows.append((block, ANSWER, p, pack(r, _deltas(place))))
+        rows.append((0, STATS, p, _stats(np.concatenate(counts), sizes)))
+        return _table(rows)
+
+    return asked.groupBy("part").applyInArrow(merge, ROWS)
+
+
+def answer_hot(rows: DataFrame) -> DataFrame:
+    """HOT_ANSWER to each block: the sums of its hot contexts, met in their homes."""
 
     def merge(key, table):
         got = [unpack(x, [I] * (2 * K + 3))[0] for _, _, x in _blobs(table, SUMS)]
-        h = np.concatenate([g[0] for g in got]) if got else np.zeros(0, I)
-        known, place = np.unique(h, return_inverse=True)
-        total, kept, mass = np.zeros(len(known)), np.zeros(len(known)), np.zeros(len(known))
-        for k in range(1, K + 2) if got else ():
-            n = np.bincount(place, np.concatenate([g[k] for g in got]), len(known))
-            total += n
-            kept += n * model["d2"][k]
-            mass += np.bincount(place, np.concatenate([g[K + 1 + k] for g in got]), len(known)) * model["d1"][k] / model["N"]
-        # Where nothing was discounted one count is added for the words that weren't seen.
-        divisor = np.where(total - kept > 0, total, total + 1)
-        alpha = (1 - kept / np.maximum(divisor, 1)) / np.maximum(1 - mass, 1e-300)
-        p, rows = key[0].as_py(), []
-        for _, block, blob in _blobs(table, ASKED):
-            (steps,), _ = unpack(blob, [I])
-            ids = _sums(steps)
-            k = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
-            is_known = known[k] == ids if len(known) else np.zeros(len(ids), bool)
-            rows.append((block, WEIGHT, p, pack(np.where(is_known, divisor[k], 0.0) if len(known) else np.zeros(len(ids)), np.where(is_known, alpha[k], 1.0) if len(known) else np.ones(len(ids)))))
-        return _table(rows)
+        context, place = np.unique(np.concatenate([g[0] for g in got]) if got else np.zeros(0, I), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([g[k] for g in got]), len(context)).astype(I) for k in range(1, 2 * K + 3)] if got else []
+        p, out = key[0].as_py(), []
+        for _, block, blob in _blobs(table, HOT_ASKED):
+            (ids,), _ = unpack(blob, [I])
+            k = np.searchsorted(context, ids)
+            out.append((block, HOT_ANSWER, p, pack(*(s[k] for s in sums))))
+        return _table(out)
+
+    return rows.groupBy("part").applyInArrow(merge, ROWS)
 
-    sent = sums.mapInArrow(send, ROWS).unionAll(answers.groupBy("block").applyInArrow(ask, ROWS))
-    return sent.groupBy("part").applyInArrow(merge, ROWS)
 
+# Evaluation ---------------------------------------------------------------------------------------------------
 
-def evaluate(rows: DataFrame, parts: int, offsets: np.ndarray, model: dict) -> DataFrame:
-    """Scores of each block's documents, token by token: the pair's share, else the weight times the word's P."""
-    out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+def _weights(block: Block, level: int, g: dict, below: np.ndarray | float, lower: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Divisor and backoff weight of each n-gram of the level before as a context (1 where it isn't known).
+
+    below: divisors of the contexts of the level before; lower: which of those a context has without its first word.
+    """
+    n = [np.zeros(len(block.count), I) for _ in range(2 * K + 2)]
+    for kind, context in ((CONTEXTS, g["context"][~g["hot"]]), (HOT_ANSWER, _hot_contexts(g)[0])):
+        got = [unpack(x, [I] * (2 * K + 2))[0] for _, _, x in _blobs(block.table, kind + 100 * level)]
+        if got:
+            where = context[_heads(context)]
+            for k, x in enumerate(zip(*got)):
+                n[k][where] = np.concatenate(x)
+    d, before = model["d"][level - 1], model["d"][level - 2]
+    total = sum(n[: K + 1])
+    kept = sum(x * d[k] for k, x in enumerate(n[: K + 1], 1))
+    mass = sum(x * before[k] for k, x in enumerate(n[K + 1 :], 1)) / np.maximum(below if np.isscalar(below) else below[lower], 1)
+    # Where nothing was discounted one count is added for the words that weren't seen.
+    divisor = np.where(total - kept > 0, total, total + 1)
+    return divisor, (1 - kept / divisor) / np.maximum(1 - mass, 1e-300)
+
+
+def evaluate(rows: DataFrame, parts: list[int], shifts: list[int], model: dict) -> DataFrame:
+    """Scores of each block's documents, token by token: the n-gram's share, else the weight times the P of the level below."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key, table):
-        c, ids, doc_id, null, n, out, seq, inverse, h, w, code = _pair_codes(table, offsets)
-        to = (_spread(code) >> U(32)).astype(I) * parts >> 32
-        order = np.lexsort((code, to))
-        r = np.empty(len(code), I)
-        r[order] = np.concatenate([unpack(x, [I])[0][0] for _, _, x in _blobs(table, PAIR_ANSWER)])
-        weight = [unpack(x, [D, D])[0] for _, _, x in _blobs(table, WEIGHT)]
-        divisor, alpha = (np.concatenate([x[i] for x in weight]) for i in (0, 1))
-        p = alpha[h] * _word_p(c[w], model)
-        seen = r > 0
-        p[seen] = model["d2"][np.minimum(r[seen], K + 1)] * r[seen] / divisor[h[seen]]
-        heads = np.cumsum(n) - n
-        known = c[seq]
+        block = Block(table, shifts)
+        known = block.count[block.seq]
+        p = _word_p(known, model)
+        below, lower = float(model["N"]), np.zeros(0, I)
+        for level in range(2, len(parts) + 1):
+            g = block.grams(level, parts[level - 1])
+            divisor, alpha = _weights(block, level, g, below, lower, model)
+            block.rise(level, g)
+            r = block.count
+            share = model["d"][level - 1][np.minimum(r, K + 1)] * r / divisor[g["context"]]
+            p[g["at"]] = np.where(r > 0, share, 0.0)[g["of"]] + np.where(r > 0, 0.0, alpha[g["context"]])[g["of"]] * p[g["at"]]
+            below, lower = divisor, g["lower"]
         N, V = model["N"], model["V"]
         base = np.log10((known + 0.1) / (N + 0.1 * (V + 1)))
+        heads = np.cumsum(block.n) - block.n
         return pa.Table.from_arrays(
-            [pa.array(doc_id, mask=null.astype(bool)), pa.array(out == 1), pa.array(n), pa.array(np.add.reduceat((known > 0).astype(I), heads)), pa.array(np.full(len(n), N, I)), pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(np.log10(p)[inverse], heads))], schema=out_schema
+            [pa.array(block.doc_id, mask=block.null.astype(bool)), pa.array(block.out == 1), pa.array(block.n), pa.array(np.add.reduceat((known > 0).astype(I), heads)), pa.array(np.full(len(heads), N, I)), pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(np.log10(p), heads))], schema=schema
         )
 
-    return rows.groupBy("block").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.groupBy("block").applyInArrow(run, OUT)
+
+
+def _totals(table: DataFrame) -> list[int]:
+    """Sums over the STATS rows, and the most places of a range."""
+    names = [f"s{i}" for i in range(K + 4)]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches((tuple(unpack(b, [I])[0][0].tolist()) for (b,) in rows_of(part, "blob")), schema)
+
+    rows = table.filter(F.col("kind") == STATS).select("blob").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    found = rows.agg(*(F.sum(n) for n in names[:-1]), F.max(names[-1])).first()
+    return [x or 0 for x in found]
 
 
-def _totals(table: DataFrame) -> np.ndarray:
-    """Sums of the STATS rows: one row of a few numbers for each range."""
-    rows = table.filter(F.col("kind") == STATS).select("blob").collect()
-    return sum((unpack(bytes(r.blob), [I])[0][0] for r in rows), np.zeros(K + 3, I))
+def _of_level(table: DataFrame, level: int, *kinds: int) -> DataFrame:
+    """Rows of kinds, marked with the level."""
+    return table.filter(F.col("kind").isin(*kinds)).select("block", (F.col("kind") + 100 * level).alias("kind"), "part", "blob")
 
 
-def score(spark: SparkSession, docs: DataFrame, modulus: int = 10) -> DataFrame:
-    """Learns from rows whose crc32(doc_id) mod modulus isn't 0 and scores all rows."""
+def score(spark: SparkSession, docs: DataFrame, modulus: int = 10, order: int = 3) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod modulus isn't 0 and scores all rows, with n-grams up to the order."""
     scratch = Scratch(spark, "katz")
     made = scratch.save(blocks(docs, modulus), "blocks", "kind")
     sizes = {r["kind"]: r["n"] for r in made.filter(F.col("kind").isin(SEQUENCE, WORDS)).groupBy("kind").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
     if not sizes:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return spark.createDataFrame([], OUT)
     # Blobs hold about 9 bytes a word and 2 a token.
-    ranges = max(1, sizes[WORDS] // (9 * RANGE_ENTRIES) + 1)
-    pair_ranges = max(1, sizes[SEQUENCE] // RANGE_ENTRIES + 1)
-    words = scratch.save(count_words(made.filter(F.col("kind") == WORDS), ranges), "words", "kind")
+    parts = [max(1, sizes[WORDS] // (9 * RANGE_ENTRIES) + 1)] + [max(1, sizes[SEQUENCE] // RANGE_ENTRIES + 1)] * (order - 1)
+    words = scratch.save(count_words(made.filter(F.col("kind") == WORDS), parts[0]), "words", "kind")
     n = _totals(words)
-    per_range = {r.part: r.n for r in words.filter(F.col("kind") == TABLE).select("part", "blob").mapInArrow(_lengths, "part int, n long").collect()}
-    offsets = np.concatenate([[0], np.cumsum([per_range.get(p, 0) for p in range(ranges)])]).astype(I)
-    model = {"N": int(n[0]), "V": int(n[1]), "d1": discounts([0, *n[2:].tolist()])}
-    some = n[2:].tolist()[:K]
-    taken = sum((1 - model["d1"][r]) * r * k for r, k in enumerate(some, 1))
+    model = {"N": n[0], "V": n[1], "d": [discounts([0, *n[2:-1]])]}
+    shifts = [n[-1].bit_length()]
+    taken = sum((1 - model["d"][0][r]) * r * k for r, k in enumerate(n[2 : 2 + K], 1))
     model["unseen"] = taken / model["N"] if model["N"] and taken else 1.0 / (model["N"] + 1)
-    answers = words.filter(F.col("kind") == ANSWER)
     scratch.free(f"blocks/kind={WORDS}")
-    asked = made.filter(F.col("kind").isin(DOCS, SEQUENCE)).select(words.columns).unionAll(answers)
-    pairs = scratch.save(count_pairs(asked, pair_ranges, offsets), "pairs", "kind")
-    scratch.collect_garbage()
-    model = model | {"d2": discounts([0, *_totals(pairs)[2:].tolist()])}
-    weights = scratch.save(weigh(pairs.filter(F.col("kind") == SUMS), answers, ranges, offsets, model), "weights", "kind")
-    scratch.free(f"pairs/kind={SUMS}")
-    every = asked.unionAll(pairs.filter(F.col("kind") == PAIR_ANSWER)).unionAll(weights)
-    return evaluate(every, pair_ranges, offsets, model)
-
-
-def _lengths(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("part", pa.int32()), ("n", pa.int64())])
-    return batches(((p, len(unpack(b, [U, I])[0][0])) for p, b in rows_of(part, "part", "blob")), schema)
+    asks = made.filter(F.col("kind").isin(DOCS, SEQUENCE)).select("block", "kind", "part", "blob").unionAll(_of_level(words, 1, ANSWER))
+    every = asks
+    for level in range(2, order + 1):
+        name = f"grams{level}"
+        grams = scratch.save(count_grams(ask_grams(asks, level, parts, shifts), parts[level - 1]), name, "kind")
+        scratch.collect_garbage()
+        n = _totals(grams)
+        model["d"].append(discounts([0, *n[2:-1]]))
+        shifts.append(n[-1].bit_length())
+        hot = scratch.save(answer_hot(grams.filter(F.col("kind").isin(SUMS, HOT_ASKED)).select("block", "kind", "part", "blob")), f"hot{level}")
+        scratch.free(f"{name}/kind={SUMS}", f"{name}/kind={HOT_ASKED}")
+        asks = asks.unionAll(_of_level(grams, level, ANSWER))
+        every = every.unionAll(_of_level(grams, level, ANSWER, CONTEXTS)).unionAll(_of_level(hot, level, HOT_ANSWER))
+    return evaluate(every, parts, shifts, model)

@@ -371,39 +371,57 @@ def test_proximity(spark):
 # Katz
 
 
-def test_katz_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order, hot", [(1, 400_000), (2, 400_000), (3, 3), (3, 400_000), (4, 10)])
+def test_katz_against_brute_force(spark, order, hot, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(katz, "RANGE_ENTRIES", 500)
-    rows = made(n=50) + [(None, None), (None, "a"), (5, ""), (300, "the the the a the")]
+    monkeypatch.setattr(katz, "HOT_CONTEXT", hot)
+    passage = "the same few words come again in a passage that many texts share and that is long enough"
+    rows = made(n=50) + [(None, None), (None, "a"), (5, ""), (300, "the the the a the")] + [(400 + i, passage + (f" w{i}" if i % 3 else "")) for i in range(12)]
     low = lambda t: (t or "").encode().translate(common.FOLD).split() + [" end"]
     held = [zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d, _ in rows]
-    c, b, ch = Counter(), Counter(), Counter()
+    # counts[m]: n-grams of order m; a text's k-th token (from 0) has orders up to k + 2.
+    counts = [None, *(Counter() for _ in range(order))]
+
+    def grams(w, k):
+        return [tuple([" start", *w][k + 2 - m : k + 2]) for m in range(1, min(order, k + 2) + 1)]
+
     for (_, t), h in zip(rows, held):
         if not h:
-            w = low(t)
-            c.update(w)
-            for x, y in zip([" start", *w], w):
-                b[x, y] += 1
-                ch[x] += 1
-    n, v = sum(c.values()), len(c)
-    d1, d2 = (katz.discounts([0, *(sum(1 for x in k.values() if x == r) for r in range(1, 7))]) for k in (c, b))
-    unseen = 1 - sum(d1[min(k, 6)] * k for k in c.values()) / n
-    p = lambda w: d1[min(c[w], 6)] * c[w] / n if c[w] else unseen
+            for k in range(len(low(t))):
+                for g in grams(low(t), k):
+                    counts[len(g)][g] += 1
+    d = [None, *(katz.discounts([0, *(sum(1 for x in c.values() if x == r) for r in range(1, 7))]) for c in counts[1:])]
+    n, v = sum(counts[1].values()), len(counts[1])
+    unseen = 1 - sum(d[1][min(k, 6)] * k for k in counts[1].values()) / n
     after: dict = {}
-    for (x, y), r in b.items():
-        after.setdefault(x, []).append((y, r))
-    div, alpha = {}, {}
-    for x, ys in after.items():
-        kept = sum(d2[min(r, 6)] * r for _, r in ys)
-        div[x] = ch[x] + (ch[x] - kept <= 0)
-        alpha[x] = (1 - kept / div[x]) / (1 - sum(p(y) for y, _ in ys))
-        assert math.isclose(kept / div[x] + alpha[x] * (1 - sum(p(y) for y, _ in ys)), 1)
+    for m in range(2, order + 1):
+        for g, r in counts[m].items():
+            after.setdefault(g[:-1], []).append((g[-1], r))
+
+    def p(g):
+        """P of the last word after the others, by the definition."""
+        m = len(g)
+        if m == 1:
+            return d[1][min(counts[1][g], 6)] * counts[1][g] / n if counts[1][g] else unseen
+        seen = after.get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        total, kept = sum(r for _, r in seen), sum(d[m][min(r, 6)] * r for _, r in seen)
+        total += total - kept <= 0
+        if counts[m][g]:
+            return d[m][min(counts[m][g], 6)] * counts[m][g] / total
+        return (1 - kept / total) / (1 - sum(p((*g[1:-1], w)) for w, _ in seen)) * p(g[1:])
+
+    vocabulary = [w for (w,) in counts[1]]
+    for context in list(after)[:: max(1, len(after) // 8)]:
+        assert math.isclose(sum(p((*context, w)) for w in vocabulary) + p((*context, "never seen")), 1)
     want = []
-    for (d, t), h in zip(rows, held):
+    for (i, t), h in zip(rows, held):
         w = low(t)
-        s = sum(math.log10(d2[min(b[x, y], 6)] * b[x, y] / div[x] if b[x, y] else alpha.get(x, 1) * p(y)) for x, y in zip([" start", *w], w))
-        want.append((str(d), h, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6), round(s, 6)))
-    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in collected(katz.score(spark, table(spark, rows)))]
+        s = sum(math.log10(p(grams(w, k)[-1])) for k in range(len(w)))
+        want.append((str(i), h, len(w), sum(counts[1][x,] > 0 for x in w), n, round(sum(math.log10((counts[1][x,] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6), round(s, 6)))
+    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in collected(katz.score(spark, table(spark, rows), order=order))]
     assert sorted(got) == sorted(want)
 
 

@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fernsql-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -134,19 +136,39 @@ def groups(rows: Iterator[tuple], most_chars: int = 200_000, most_rows: int = 20
         yield held
 
 
+def numbered(ordered: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """A written table of the rows with a column ``name``: 0, 1, 2 and so on in the order of partitions and rows.
+
+    Numbers are those of the written rows: a partition's own, plus the rows of the partitions before it.
+    """
+    own = fresh(ordered, "own")
+    kept = scratch.save(ordered.withColumn(own, F.monotonically_increasing_id()), f"{name}-ordered")
+    part = F.shiftright(own, 33)
+    # One row for each partition of the sort.
+    sizes = sorted((r.part, r.n) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    firsts, at = [], 0
+    for k, n in sizes:
+        firsts.append((k, at - (k << 33)))
+        at += n
+    shift = fresh(ordered, "shift")
+    table = kept.sparkSession.createDataFrame(firsts, f"{own}_part long, {shift} long")
+    joined = kept.join(F.broadcast(table), part == F.col(f"{own}_part"))
+    return joined.select(*ordered.columns, (F.col(own) + F.col(shift)).alias(name))
+
+
 def keyed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid long, key, text): uid is unique and in the order of (key, text), nulls first.
+    """(uid long, key, text): uid is unique and in the order of the key, nulls first, then of a hash of the text, then of the text.
 
-    A key that is unique and not null is its own uid. Otherwise rows are ordered by key, then text,
-    and numbered in a written table, so that repeated and null keys stay separate rows.
+    A key that is unique and not null is its own uid. Otherwise rows are numbered in a written table, so that repeated
+    and null keys stay separate rows.
     """
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
     odd = docs.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count()
     if not odd:
         return docs.select(F.col(key).alias("uid"), key, text)
-    ordered = scratch.save(docs.repartitionByRange(F.col(key).asc_nulls_first(), F.xxhash64(text)).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text)), "ordered")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    return scratch.save(docs.sparkSession.createDataFrame(numbered, f"uid long, {key} long, {text} string"), "keyed")
+    # The hash parts the rows of a hot key.
+    order = [F.col(key).asc_nulls_first(), F.xxhash64(text), F.col(text).asc_nulls_first()]
+    return numbered(docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order), scratch, "uid").select("uid", key, text)
 
 
 #: Rows of one key that a task may take in a join, at least; hot keys are the few beyond.

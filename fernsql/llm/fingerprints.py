@@ -44,22 +44,31 @@ def marks(canon: Column, digest: Callable[[Column], Column] = wide) -> Column:
     return F.struct(digest(canon).alias("bucket"), F.xxhash64(F.lit("third"), canon).alias("third"))
 
 
+def _key(text: str, doc_id: str = "doc_id") -> list[Column]:
+    """By what rows with equal texts meet in spite of null and repeated ids; ids spread the copies of one text."""
+    return [F.xxhash64(text).alias("h"), F.pmod(F.xxhash64(doc_id), F.lit(4096)).alias("salt")]
+
+
 def fingerprint(docs: DataFrame, digest: Callable[[Column], Column] = wide) -> DataFrame:
     """(doc_id, fingerprint) of each row."""
-    canon = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession, "fingerprint")
-    rows = scratch.save(canon.select("doc_id", marks(F.col("canon"), digest).alias("own")), "rows")
-    ranks = _ranks([canon.join(_repeated(rows, ["own"], "own"), "doc_id", "left_semi")], digest, scratch)
+    rows = scratch.save(texts.select("doc_id", F.struct(*_key("text")).alias("own_key"), marks(canonical(F.col("text")), digest).alias("own")), "rows")
+    ranks = _ranks([_repeated(texts, rows, ["own"], "own")], digest, scratch)
     return _named(rows, ["own"], ranks).select("doc_id", F.col("own").alias("fingerprint"))
 
 
-def _repeated(rows: DataFrame, columns: list[str], column: str) -> DataFrame:
-    """doc_id of rows whose digest in a column is found more than once in all columns."""
+def _repeated(texts: DataFrame, rows: DataFrame, columns: list[str], column: str) -> DataFrame:
+    """The canonical form of those texts (doc_id, text) whose digest, in a column, is found more than once in all columns.
+
+    The digest table says which; only their texts are canonicalised again.
+    """
     every = rows.select(F.col(columns[0]).bucket.alias("bucket"))
     for c in columns[1:]:
         every = every.unionAll(rows.select(F.col(c).bucket))
     often = every.groupBy("bucket").count().filter("count > 1").select("bucket")
-    return rows.select("doc_id", F.col(column).bucket.alias("bucket")).join(often, "bucket", "left_semi").select("doc_id").distinct()
+    wanted = rows.select(F.col(column).bucket.alias("bucket"), f"{column}_key.*").join(often, "bucket", "left_semi").select("h", "salt").distinct()
+    return texts.select("text", *_key("text")).join(wanted, ["h", "salt"], "left_semi").select(canonical(F.col("text")).alias("canon"))
 
 
 def _ranks(parts: list[DataFrame], digest: Callable[[Column], Column], scratch: Scratch) -> DataFrame | None:
@@ -148,13 +157,15 @@ def edited_fingerprints(spark: SparkSession, docs: DataFrame, digest: Callable[[
     rows = chain.withColumn("edited", F.expr(EDITED)).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         "own", marks(canonical(F.col("edited")), digest).alias("changed"), F.col("next_own").alias("after"),
+        F.struct(*_key("text")).alias("own_key"), F.struct(*_key("edited")).alias("changed_key"),
     )
     rows = scratch.save(rows, "digests")
     scratch.collect_garbage()
-    found = [docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon")).join(_repeated(rows, ["own", "changed"], "own"), "doc_id", "left_semi")]
-    again = scratch.save(_repeated(rows, ["own", "changed"], "changed"), "again")
-    if again.limit(1).count():
-        found.append(following(docs, {}).join(again, "doc_id", "left_semi").select("doc_id", canonical(F.expr(EDITED)).alias("canon")))
+    both = ["own", "changed"]
+    found = [_repeated(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows, both, "own")]
+    often = rows.select("own.bucket").unionAll(rows.select("changed.bucket")).groupBy("bucket").count().filter("count > 1")
+    if rows.select("changed.bucket").join(often, "bucket", "left_semi").limit(1).count():
+        found.append(_repeated(following(docs, {}).select("doc_id", F.expr(EDITED).alias("text")), rows, both, "changed"))
     ranks = _ranks(found, digest, scratch)
     named = _named(rows, ["own", "changed", "after"], ranks)
     return named.select(

@@ -2,13 +2,14 @@
 
 A paragraph is a line. Its features are word 1- and 2-grams of a vocabulary from training; a multinomial logistic
 regression over them gives a probability for each licence family and for the class ``unknown``. A temperature fitted
-on held-out paragraphs calibrates the probabilities; a family is predicted if its probability is at least
+on held-out templates and lines calibrates the probabilities; a family is predicted if its probability is at least
 ``least_probability``. A prediction counts only if the paragraph also resembles a template of that family:
 their shared word 2-grams make up at least ``least_overlap`` of the shorter's. Adjacent lines of one family
 are one span.
 
 Training data: the templates below with random drops, cuts and neighbouring words, and, for ``unknown``, near
-misses and lines from at most ``most_docs`` documents chosen by a hash of doc_id. Everything else covers all rows.
+misses and lines of a bounded sample of the documents (see ``fit``). Everything else covers all rows. A bare
+"All rights reserved." counts as Proprietary.
 
 Null and empty texts have no paragraphs. Repeated rows get equal results.
 """
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,14 +172,16 @@ def _pair_set(words: list[bytes]) -> set[bytes]:
     return {a + b" " + b for a, b in zip(words, words[1:])} or set(words)
 
 
-def train(other_lines: list[str], seed: int = 7, copies: int = 40, rounds: int = 250, rate: float = 0.5, ridge: float = 1e-4, least_probability: float = 0.6, least_overlap: float = 0.6) -> Classifier:
-    """Fits the regression on four fifths of the made paragraphs, its temperature on the rest."""
+def _examples(other_lines: list[str], copies: int, pool_lines: int, folds: int, seed: int) -> list[tuple[list[bytes], int, int]]:
+    """(words, class, fold): made paragraphs of all templates, near misses and other lines.
+
+    A template's paragraphs are in one fold, so that a fold holds whole templates that the others lack.
+    """
     rng = np.random.default_rng(seed)
-    families = list(TEMPLATES)
-    made: list[tuple[list[bytes], int]] = []
-    pool = [w for line in other_lines[:2000] for w in line_words(line)[0]] or [b"text"]
-    for c, name in enumerate(families):
-        for text in TEMPLATES[name]:
+    made: list[tuple[list[bytes], int, int]] = []
+    pool = [w for line in other_lines[:pool_lines] for w in line_words(line)[0]] or [b"text"]
+    for c, templates in enumerate(TEMPLATES.values()):
+        for fold, text in enumerate(templates):
             w = line_words(text)[0]
             for k in range(copies):
                 v = list(w)
@@ -189,54 +193,101 @@ def train(other_lines: list[str], seed: int = 7, copies: int = 40, rounds: int =
                 if k % 4 == 3:
                     n = int(rng.integers(1, 5))
                     v = [pool[i] for i in rng.integers(0, len(pool), n)] + v + [pool[i] for i in rng.integers(0, len(pool), n)]
-                made.append((v, c))
+                made.append((v, c, fold % folds))
     whole = [_pair_set(line_words(t)[0]) for ts in TEMPLATES.values() for t in ts]
-    for text in [*NEAR_MISSES * copies, *other_lines]:
+    for k, text in enumerate([*(m for m in NEAR_MISSES for _ in range(copies)), *other_lines]):
         w = line_words(text)[0]
         own = _pair_set(w)
         # Lines of the sample that hold a template aren't examples of unknown.
         if w and max((len(own & t) / min(len(own), len(t)) for t in whole), default=0) < 0.5:
-            made.append((w, len(families)))
-    counts = Counter(w for v, c in made if c < len(families) for w in set(v))
-    pairs = Counter(p for v, c in made if c < len(families) for p in set(zip(v, v[1:])))
-    words = {w: i for i, (w, n) in enumerate(sorted(counts.items())) if n >= 3}
-    words = {w: i for i, w in enumerate(words)}
+            made.append((w, len(TEMPLATES), (k // copies if k < copies * len(NEAR_MISSES) else k) % folds))
+    return made
+
+
+def _regression(made: list[tuple[list[bytes], int, int]], rounds: int, rate: float, ridge: float, **limits) -> Classifier:
+    """Word 1- and 2-grams that three made paragraphs share, and their weights by AdaGrad steps over all examples."""
+    families = list(TEMPLATES)
+    counts = Counter(w for v, c, _ in made if c < len(families) for w in set(v))
+    pairs = Counter(p for v, c, _ in made if c < len(families) for p in set(zip(v, v[1:])))
+    words = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= 3))}
     codes = np.array(sorted(words[a] * len(words) + words[b] for (a, b), n in pairs.items() if n >= 3 and a in words and b in words), np.int64)
     n_features = len(words) + len(codes) + 1
-    model = Classifier(families, words, codes, np.zeros((n_features, len(families) + 1)), 1.0, [[_pair_set(line_words(t)[0]) for t in TEMPLATES[f]] for f in families], least_probability, least_overlap)
-    order = rng.permutation(len(made))
-    held = order[::5]
-    used = np.setdiff1d(order, held)
-    lines, y = [made[i][0] for i in used], np.array([made[i][1] for i in used])
+    model = Classifier(families, words, codes, np.zeros((n_features, len(families) + 1)), 1.0, [[_pair_set(line_words(t)[0]) for t in TEMPLATES[f]] for f in families], **limits)
+    lines, y = [v for v, _, _ in made], np.array([c for _, c, _ in made])
     feature, where = model.grams(lines)
-    scale = (1 / np.sqrt(np.maximum(1, np.array([2 * len(v) - 1 for v in lines]))))[where]
-    target = np.eye(len(families) + 1)[y]
+    x = np.zeros((len(lines), n_features), np.float32)
+    np.add.at(x, (where, feature), (1 / np.sqrt(np.maximum(1, np.array([2 * len(v) - 1 for v in lines]))))[where].astype(np.float32))
+    x[:, -1] = 1
+    target = np.eye(len(families) + 1, dtype=np.float32)[y]
     # Classes count alike, however many lines stand for unknown.
-    weight = (len(y) / (len(families) + 1) / np.maximum(1, np.bincount(y, minlength=len(families) + 1)))[y]
+    weight = (len(y) / (len(families) + 1) / np.maximum(1, np.bincount(y, minlength=len(families) + 1)))[y].astype(np.float32)[:, None]
     acc = np.zeros_like(model.weights)
     for _ in range(rounds):
-        gap = (model.probabilities(lines) - target) * weight[:, None]
-        g = ridge * len(y) * model.weights
-        for c in range(gap.shape[1]):
-            g[:-1, c] += np.bincount(feature, gap[where, c] * scale, n_features - 1)
-            g[-1, c] += gap[:, c].sum()
+        z = x @ model.weights.astype(np.float32)
+        e = np.exp(z - z.max(1, keepdims=True))
+        g = x.T @ ((e / e.sum(1, keepdims=True) - target) * weight) + ridge * len(y) * model.weights
         acc += g * g
         model.weights -= rate * g / (np.sqrt(acc) + 1e-9)
-    tests, truth = [made[i][0] for i in held], np.array([made[i][1] for i in held])
-    losses = []
-    for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0):
-        model.temperature = t
-        losses.append((-np.log(np.maximum(1e-12, model.probabilities(tests)[np.arange(len(truth)), truth])).mean(), t))
-    model.temperature = min(losses)[1]
     return model
 
 
-def fit(spark: SparkSession, docs: DataFrame, most_docs: int = 300, most_chars: int = 5000) -> Classifier:
-    """Unknown lines come from at most most_docs documents of at most most_chars characters."""
-    light = docs.select("doc_id", "text").filter(F.char_length("text") <= most_chars)
-    share = max(1, docs.select("doc_id").count() // (2 * most_docs))
-    rows = light.filter(F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(share)) == 0).limit(most_docs).collect()
-    return train([line for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text)) for line in r.text.split("\n")][:6000])
+#: Temperatures that calibration may choose between.
+COLDEST, HOTTEST = 0.05, 20.0
+
+
+def calibrated(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature that makes held-out log loss least, by golden sections of its logarithm.
+
+    scores: log probabilities at temperature 1. Raises if the loss is still falling at an end of the range.
+    """
+    def loss(t: float) -> float:
+        z = scores / np.exp(t)
+        return float((np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(len(z)), truth]).mean())
+
+    lo, hi, cut = np.log(COLDEST), np.log(HOTTEST), (5**0.5 - 1) / 2
+    while hi - lo > 1e-3:
+        a, b = hi - cut * (hi - lo), lo + cut * (hi - lo)
+        lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+    t = float(np.exp((lo + hi) / 2))
+    if not COLDEST * 1.01 < t < HOTTEST / 1.01:
+        raise ValueError("the temperature lies at the edge of its range")
+    return t
+
+
+def train(
+    other_lines: list[str], seed: int = 7, copies: int = 40, rounds: int = 250, rate: float = 0.5, ridge: float = 1e-4, folds: int = 3, pool_lines: int = 2000,
+    least_probability: float = 0.6, least_overlap: float = 0.6,
+) -> Classifier:
+    """Fits the regression on all examples, and its temperature on held-out ones.
+
+    For each fold the regression is fitted on the others and scores the fold's templates and lines, none of which it has seen.
+    Words around made paragraphs come from the first ``pool_lines`` of the other lines.
+    """
+    limits = {"least_probability": least_probability, "least_overlap": least_overlap}
+    made = _examples(other_lines, copies, pool_lines, folds, seed)
+    scores, truth = [], []
+    for fold in range(folds):
+        model = _regression([m for m in made if m[2] != fold], rounds, rate, ridge, **limits)
+        held = [m for m in made if m[2] == fold]
+        scores.append(np.log(np.maximum(1e-30, model.probabilities([v for v, _, _ in held]))))
+        truth += [c for _, c, _ in held]
+    model = _regression(made, rounds, rate, ridge, **limits)
+    model.temperature = calibrated(np.concatenate(scores), np.array(truth))
+    return model
+
+
+def fit(spark: SparkSession, docs: DataFrame, most_docs: int = 300, most_chars: int = 5000, most_lines: int = 6000) -> Classifier:
+    """Unknown lines come from a bounded sample: at most most_lines lines of at most most_docs rows of up to most_chars characters.
+
+    Documents are chosen by a hash of doc_id, lines by a hash of the line, so neither depends on the order of rows or
+    files. Rows without doc_id aren't sampled; of rows of one id those of the least text hashes are.
+    """
+    order = F.xxhash64("doc_id", F.lit("licence"))
+    ids = [r.doc_id for r in docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(order, "doc_id").limit(2 * most_docs).collect()]
+    light = docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids) & (F.char_length("text") <= most_chars))
+    rows = light.orderBy(order, "doc_id", F.xxhash64("text"), "text").limit(most_docs).collect()
+    lines = sorted((line for r in rows for line in r.text.split("\n")), key=lambda x: (xxhash.xxh64_intdigest(x), x))
+    return train(lines[:most_lines])
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -11,7 +11,7 @@ takes at most ``most_docs`` labelled rows of each class (of at most ``most_chars
 doc_id; everything else covers all rows and whole texts.
 
 Null and empty texts have no evidence: they get the score of a document without any. Repeated labels of a document
-each count. Without labels of both classes all scores are 0.
+each count; of repeated rows of a document the text of the least hash is learned from. Without labels of both classes all scores are 0.
 """
 
 from __future__ import annotations
@@ -298,10 +298,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int =
     for t in (0, 1):
         part = rows.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(most_docs)
         chosen = part if chosen is None else chosen.unionAll(part)
-    # most_docs rows of two numbers for each class.
-    texts = docs.select("doc_id", "text").filter(F.char_length("text") <= most_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    texts.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
-    return train([r.text for r in texts], [r.toxic for r in texts])
+    chosen = chosen.groupBy("doc_id", "toxic").count()
+    # most_docs rows of three numbers for each class. Of rows of one id one text is taken, so no more come to the driver.
+    light = docs.select("doc_id", "text").filter(F.char_length("text") <= most_chars).join(F.broadcast(chosen), "doc_id")
+    texts = light.groupBy("doc_id", "toxic", "count").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
+    texts.sort(key=lambda r: (r.doc_id, r.toxic))
+    return train([r.text for r in texts for _ in range(r["count"])], [r.toxic for r in texts for _ in range(r["count"])])
 
 
 def classify(docs: DataFrame, model: Field, modulus: int = 5) -> DataFrame:

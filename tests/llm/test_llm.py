@@ -197,7 +197,7 @@ def test_components_match_brute_force(spark):
 # SimHash
 
 
-@pytest.mark.parametrize("blocks, rows_each, hot", [(None, None, 10**6), (4, 3, 2), (8, 2, 2)])
+@pytest.mark.parametrize("blocks, rows_each, hot", [(None, None, 10**6), (2, 3, 2), (4, 2, 10**6), (8, 2, 2)])
 def test_simhash_components(spark, blocks, rows_each, hot, monkeypatch):
     monkeypatch.setattr(simhash.links, "__defaults__", (3, blocks, rows_each))
     monkeypatch.setattr(common, "HOT_ROWS", hot)
@@ -315,6 +315,28 @@ def test_edited_fingerprints(spark, digest, monkeypatch):
     assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
 
 
+@pytest.mark.parametrize("digest", [fingerprints.wide, lambda c: F.lit("x")])
+def test_fingerprints_without_and_with_repeated_ids(spark, digest):
+    """Bytes are compared whatever the id: one fingerprint a canonical text, one canonical text a fingerprint."""
+    texts = ["one", "ONE ", "two", "three", None, "", "very long " * 30_000, "very long " * 30_000 + "x"]
+    rows = [(i, t) for i in (None, 5, 5) for t in texts] + [(9, "two"), (10, "Two")]
+    by: dict = {}
+    canon = lambda t: " ".join((t or "").casefold().split())
+    got = collected(fingerprints.fingerprint(table(spark, rows), digest))
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+    names = Counter((r["doc_id"], r["fingerprint"]) for r in got)
+    for d, t in rows:
+        by.setdefault(canon(t), set())
+    assert len({r["fingerprint"] for r in got}) == len(by) and sorted(names.values()) == sorted(Counter((d, canon(t)) for d, t in rows).values())
+    edited = collected(fingerprints.edited_fingerprints(spark, table(spark, rows), digest))
+    assert len(edited) == len(rows) and len({r["fingerprint"] for r in edited}) == len(by)
+    # Of two rows with equal own fingerprints the canonical texts are equal, so their lengths without spaces at the ends are.
+    sizes: dict = {}
+    for r in edited:
+        sizes.setdefault(r["fingerprint"], set()).add(r["n_chars"])
+    assert sorted(map(sorted, sizes.values())) == sorted(sorted({len(t or "") for t in texts + ["Two"] if canon(t) == c}) for c in by)
+
+
 def test_following_is_circular(spark):
     got = {r["doc_id"]: r["next_text"] for r in collected(fingerprints.following(spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string"), {}, 6))}
     assert got == {i: str(i - 1 if i else 49) for i in range(50)}
@@ -509,6 +531,59 @@ def test_licence_scan(spark, classifier):
     assert got[60]["families"] == "MIT" and got[61]["top_family"] == "CC-BY-NC" and got[8]["families"] == "" and got[None]["top_family"] == "unknown"
 
 
+def test_licence_calibration():
+    rng = np.random.default_rng(3)
+    scores = np.log(rng.dirichlet(np.ones(4), 3000))
+    p = np.exp(scores / 2.0)
+    truth = np.array([rng.choice(4, p=x / x.sum()) for x in p])
+    assert 1.7 < licenses.calibrated(scores, truth) < 2.4
+    with pytest.raises(ValueError):
+        licenses.calibrated(scores, scores.argmax(1))
+
+
+#: The licence lines of the test tables.
+LICENCE_LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_licence_recall_and_precision(spark, sf):
+    """Of all lines of the whole table: those found in their family, and those found that are licence lines."""
+    docs = common.read(spark, f"/root/testdata/{sf}", "documents")
+    model = licenses.fit(spark, docs)
+    assert licenses.COLDEST * 1.01 < model.temperature < licenses.HOTTEST / 1.01
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    want = {(d, k, LICENCE_LINES[x.strip()]) for d, t in texts.items() for k, x in enumerate((t or "").split("\n")) if x.strip() in LICENCE_LINES}
+    got = set()
+    for r in collected(licenses.scan(docs, model)):
+        for span in filter(None, r["spans"].split(",")):
+            at, family, *_ = span.split(":")
+            a, b = map(int, at.split("-"))
+            got |= {(r["doc_id"], k, family) for k in range(a, b)}
+    assert len(want) > 20 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_licence_sample_ignores_order_and_hot_ids(spark, classifier):
+    rows = [(i, f"line {i} of prose\nand more") for i in range(40)] + [(None, "x")] * 5 + [(3, "hot row")] * 30
+    models = [licenses.fit(spark, table(spark, r).repartition(n), most_docs=20) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].temperature == models[1].temperature
+    assert licenses.fit(spark, table(spark, [])).scan("Released under the MIT License.")
+    assert collected(licenses.scan(table(spark, []), classifier)) == []
+    (r,) = collected(licenses.scan(table(spark, [(1, "Released under the MIT License.\n" * 20_000 + "end")]), classifier))
+    assert r["n_licence"] == 20_000 and r["spans"].startswith("0-20000:MIT")
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.extend(zip(texts, labels)))
+    docs = table(spark, [(1, f"text {i}") for i in range(500)] + [(2, "a"), (3, None), (None, "b")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    toxicity.fit(spark, docs, labels, modulus=1 << 30)
+    assert Counter(y for _, y in taken) == {1: 1, 0: 2}
+
+
 # The pipeline
 
 

@@ -156,19 +156,24 @@ def numbered(ordered: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return joined.select(*ordered.columns, (F.col(own) + F.col(shift)).alias(name))
 
 
-def keyed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid long, key, text): uid is unique and in the order of the key, nulls first, then of a hash of the text, then of the text.
+def with_uid(docs: DataFrame, scratch: Scratch, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with a unique column ``name`` in the order of the key, nulls first, then of a hash of the text, then of the text.
 
-    A key that is unique and not null is its own uid. Otherwise rows are numbered in a written table, so that repeated
-    and null keys stay separate rows.
+    A key that is unique and not null is its own number. Otherwise rows are numbered in a written table, so that
+    repeated and null keys stay separate rows.
     """
-    docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    odd = docs.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count()
+    own = F.col(key).cast("long")
+    odd = docs.select(own.alias("k")).groupBy("k").count().filter("k is null or count > 1").limit(1).count()
     if not odd:
-        return docs.select(F.col(key).alias("uid"), key, text)
+        return docs.withColumn(name, own)
     # The hash parts the rows of a hot key.
-    order = [F.col(key).asc_nulls_first(), F.xxhash64(text), F.col(text).asc_nulls_first()]
-    return numbered(docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order), scratch, "uid").select("uid", key, text)
+    order = [own.asc_nulls_first(), F.xxhash64(text), F.col(text).asc_nulls_first()]
+    return numbered(docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order), scratch, name)
+
+
+def keyed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(uid long, key, text), see ``with_uid``."""
+    return with_uid(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)), scratch, "uid", key, text).select("uid", key, text)
 
 
 #: Rows of one key that a task may take in a join, at least; hot keys are the few beyond.

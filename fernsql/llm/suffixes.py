@@ -4,18 +4,19 @@ Texts are UTF-8 bytes. A window is a string of ``length`` bytes; a byte goes if
 earlier: in a document before, or in the same one. All windows are judged on the input.
 
 Suffix sorting is dealt out by content. A window's key is the least hash among its 16-byte substrings, so equal windows
-have equal keys wherever they stand. A run is a stretch of windows of one key. Runs whose bytes are equal are one
-string with its first place; of its later places every window repeats. Strings of one key that differ may
-still share windows: these are joined to texts, a task for a range of keys, and their suffixes sorted by the
-difference-cover method (``suffix_order``): triples at two of three places sorted and named, recursion on the
-names, the remaining suffixes sorted by one byte and a name, and both merged. Neighbours in that order whose first
-``length`` bytes agree are one window's places; the first place stays.
-
-Skew: copies meet as one row a task. Keys that many different runs have are found first, by counts that
-grow with the number of tasks; windows of such a key are dealt out singly, by a hash of all their bytes.
-
-Null texts are empty. Rows of equal doc_id are ordered by text and stay separate documents; null ids come first.
-Texts shorter than a window are kept whole.
+have equal keys wherever they stand. A run is a stretch of at most RUN_WINDOWS windows of one key. Hashes only say
+which runs meet: a run whose key no other run has can't repeat. The others are joined to texts, a task for a range of
+keys, and their suffixes sorted by the difference-cover method (``suffix_order``): triples at two of three places
+sorted and named, recursion on the names, the remaining suffixes sorted by one symbol and a name, and both merged. Neighbours
+in that order whose first ``length`` bytes agree are one window's places; the first place stays.
+
+Skew: runs of one batch of a task whose bytes are equal go on as the first of them. Runs of one key that together
+exceed GROUP_BYTES are sorted in groups: one has the first of each different string, the others some copies each with the
+first of theirs, against which the sort holds them. Keys that many runs have are found first, by counts that grow with
+the number of tasks; windows of such a key are dealt out singly, by a hash of all their bytes.
+
+Null texts are empty. Rows of equal doc_id stay separate documents, in the order of a hash of the text; null ids come
+first. Texts shorter than a window are kept whole.
 """
 
 from __future__ import annotations
@@ -27,15 +28,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch, batches, keyed, rows_of
+from .common import Scratch, batches, fresh, keyed, rows_of, with_uid
 
 GRAM = 16
 #: Text bytes to a range of keys, and suffixes to a sort, about.
 PART_BYTES, SORT_BYTES = 12 << 20, 3 << 19
+#: Suffixes that are sorted at once, about: whole keys, so few that the sort stays in the cache.
+BATCH_BYTES = 100_000
+#: Windows of a run, and bytes of a key that are sorted in one group, at most.
+RUN_WINDOWS, GROUP_BYTES = 512, 64 << 10
 #: Runs that a task holds before it sends them on.
 FLUSH_RUNS = 150_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -83,6 +88,11 @@ def runs_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     m = _sliding(h, width, np.minimum)
     start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     end = np.concatenate([start[1:], [len(m)]])
+    pieces = -(-(end - start) // RUN_WINDOWS)
+    if len(pieces) < pieces.sum():  # periodic texts have long runs
+        first = np.repeat(start, pieces)
+        start = first + RUN_WINDOWS * (np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(start + RUN_WINDOWS, np.repeat(end, pieces))
     key = m[start]
     # A place is the least of some window if it equals the greatest of the minima of the windows over it.
     edge = np.zeros(width - 1, np.uint64)
@@ -138,77 +148,78 @@ def unpack(blob: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
 # The suffix sort ----------------------------------------------------------------------------------------------
 
 
-def _names(key: np.ndarray, top: int) -> np.ndarray:
-    """Ranks from 1 of the keys, equal for equal ones."""
-    if top <= 8 * len(key):
-        there = np.zeros(top, bool)
-        there[key] = True
-        return np.cumsum(there, dtype=np.int32)[key].astype(np.int64)
+def _named(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The order of the keys, their ranks from 1 (equal for equal ones), and the number of different ones."""
     order = np.argsort(key)
-    sorted_ = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.concatenate([[1], (sorted_[1:] != sorted_[:-1]).astype(np.int64)]))
-    return out
-
+    k = key[order]
+    new = np.ones(len(k), np.int32)
+    np.not_equal(k[1:], k[:-1], out=new[1:], casting="unsafe")
+    np.cumsum(new, out=new)
+    name = np.empty(len(k), np.int32)
+    name[order] = new
+    return order, name, int(new[-1])
 
-def _joined(first: np.ndarray, second: np.ndarray, top: int) -> tuple[np.ndarray, int]:
-    """One number for each pair, in the order of pairs; first is below 2^31, second below top."""
-    return first * top + second, (int(first.max()) + 1) * top if len(first) else top
 
-
-def suffix_order(s: np.ndarray) -> np.ndarray:
-    """The suffix array of s (numbers of 1 or more), by the difference cover {1, 2} modulo 3."""
+def suffix_order(s: np.ndarray, top: int | None = None) -> np.ndarray:
+    """The suffix array of s (numbers from 1 to top), by the difference cover {1, 2} modulo 3."""
     n = len(s)
     if n < 8:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    top = int(s.max()) + 1
-    t = np.concatenate([s, np.zeros(3, np.int64)])
-    one = np.arange(1, n + (n % 3 == 1), 3)  # a last, empty suffix keeps the two thirds apart
-    sample = np.concatenate([one, np.arange(2, n, 3)])
-    pair, pairs = _joined(t[sample], t[sample + 1], top)
-    if pairs * top >= 1 << 62:
-        pair = _names(pair, pairs)
-        pairs = int(pair.max()) + 1
-    triple, triples = _joined(pair, t[sample + 2], top)
-    name = _names(triple, triples)
-    del pair, triple
-    order = np.argsort(name) if int(name.max()) == len(name) else suffix_order(name)
-    del name
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
-    ranks = len(sample) + 1
-    placed = sample[order]
-    placed = placed[placed < n]
-    rank[n] = 0
-    zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(t[zero] * ranks + rank[zero + 1], kind="stable")]
-    p1, p2 = placed[placed % 3 == 1], placed[placed % 3 == 2]
-    before = np.searchsorted(t[p1] * ranks + rank[p1 + 1], t[zero] * ranks + rank[zero + 1])
-    both = np.concatenate([zero, p2])
-    two, twos = _joined(t[both], t[both + 1], top)
-    if twos * ranks >= 1 << 62:
-        two = _names(two, twos)
-    two = two * ranks + rank[both + 2]
-    before += np.searchsorted(two[len(zero) :], two[: len(zero)])
-    at = np.arange(len(zero)) + before
-    out = np.empty(n, np.int64)
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int32)
+    bits = int(top or s.max()).bit_length()
+    t = np.zeros(n + 5, np.int64)
+    t[:n] = s
+    # Thirds of the places; where n is 1 modulo 3 a last, empty suffix keeps the two sampled thirds apart.
+    n0, n1, n2 = (n + 2) // 3, (n + 1) // 3 + (n % 3 == 1), n // 3
+    at = lambda first, count: t[first : first + 3 * count : 3]
+    two = np.concatenate([(at(1, n1) << bits) | at(2, n1), (at(2, n2) << bits) | at(3, n2)])
+    third = np.concatenate([at(3, n1), at(4, n2)])
+    if 3 * bits > 62:
+        two = _named(two)[1].astype(np.int64)
+    order, name, names = _named((two << bits) | third)
+    del two, third
+    if names < len(name):
+        order = suffix_order(name, names)
+    rank = np.empty(n1 + n2, np.int64)
+    rank[order] = np.arange(1, len(rank) + 1)
+    one, other = np.zeros(n1 + 2, np.int64), np.zeros(n1 + 2, np.int64)
+    one[:n1], other[:n2] = rank[:n1], rank[n1:]
+    low = len(rank).bit_length()
+    zero = (at(0, n0) << low) | one[:n0]
+    zeros = np.argsort(zero)
+    is_one = order < n1
+    ones, others = order[is_one], order[~is_one] - n1
+    # Of each suffix at a multiple of 3, how many sampled ones come before it.
+    before = np.searchsorted(((at(1, n1) << low) | other[:n1])[ones], zero[zeros]) - (n % 3 == 1)
+    pair, pair2 = (at(0, n0) << bits) | at(1, n0), (at(2, n2) << bits) | at(3, n2)
+    if 2 * bits + low > 62:
+        both = _named(np.concatenate([pair, pair2]))[1].astype(np.int64)
+        pair, pair2 = both[:n0], both[n0:]
+    before += np.searchsorted(((pair2 << low) | one[1 : 1 + n2])[others], ((pair << low) | other[:n0])[zeros])
+    out = np.empty(n, np.int32)
+    places = before + np.arange(n0)
     rest = np.ones(n, bool)
-    rest[at] = False
-    out[at] = zero
-    out[rest] = placed
+    rest[places] = False
+    out[places] = 3 * zeros
+    sampled = np.where(is_one, 3 * order + 1, 3 * (order - n1) + 2)
+    out[rest] = sampled[sampled < n]
     return out
 
 
-def repeats(strings: list[tuple[int, int]], text: bytes, length: int) -> np.ndarray:
-    """Of the windows of strings (begin in text, windows), laid one after another: whether each stands earlier too.
+def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each stretch of n, one after another."""
+    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
+def repeats(begin: np.ndarray, n: np.ndarray, text: bytes, length: int) -> np.ndarray:
+    """Of the windows of strings (begin in text, n windows), laid one after another: whether each stands earlier too.
 
     Strings lie in the order of their places, so of equal windows the least begin is the first place.
     """
     s = np.frombuffer(text, np.uint8)
-    begins = np.concatenate([np.arange(a, a + n) for a, n in strings])
+    begins = _places(begin, n)
     window = np.zeros(len(s) + 1, bool)
     window[begins] = True
-    order = suffix_order(s.astype(np.int64) + 1)
+    order = suffix_order(s.astype(np.int32) + 1, 256)
     order = order[window[order]]
     words = np.ndarray((len(s) - 7,), "<u8", text, strides=(1,))
     same = np.zeros(len(order), bool)
@@ -268,11 +279,12 @@ def _table(schema: pa.Schema, *arrays) -> pa.Table:
 
 
 def _gather(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFrame:
-    """(part, kind, blob): runs for their key's part, each string's first place in the task; later ones as repeats."""
+    """(part, kind, blob): runs for their key's part; of those of one batch with equal bytes the first, later ones as repeats."""
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        texts: dict[int, bytes] = {}
         size = sent = 0
 
         def flush() -> Iterator[tuple]:
@@ -281,15 +293,20 @@ def _gather(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFr
             order = np.lexsort((start, uid, fp, key))
             uid, start, n, key, fp, twice = (x[order] for x in (uid, start, n, key, fp, twice))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
+            heads = np.flatnonzero(new)
+            later = np.flatnonzero(~new)
+            of = heads[np.searchsorted(heads, later, "right") - 1]
+            for k, a, i, b, j, size_ in zip(later.tolist(), uid[of].tolist(), start[of].tolist(), uid[later].tolist(), start[later].tolist(), (n[later] + length - 1).tolist()):
+                new[k] = texts[a][i : i + size_] != texts[b][j : j + size_]
             if not new.all():
                 sent += 1
                 yield (int(key[0] % np.uint64(parts)) + sent) % parts, 1, pack(uid[~new], start[~new], n[~new])
             info = n[new] * 2 + twice[new]
             uid, start, key, fp = uid[new], start[new], key[new], fp[new]
-            cuts = np.searchsorted(key, np.array([((p << 64) + parts - 1) // parts for p in range(parts)], np.uint64))
-            for p, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)])):
-                if b > a:
-                    yield p, 0, pack(uid[a:b], start[a:b], info[a:b], key[a:b], fp[a:b])
+            to = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            for p, a, b in zip(to[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+                yield p, 0, pack(uid[a:b], start[a:b], info[a:b], key[a:b], fp[a:b])
 
         for uid, text in rows_of(part, "uid", "text"):
             data = (text or "").encode()
@@ -299,10 +316,12 @@ def _gather(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFr
             digest = xxhash.xxh64_intdigest
             fp = np.fromiter((digest(data[a : a + k + length - 1]) for a, k in zip(start.tolist(), n.tolist())), np.uint64, len(start))
             held.append((np.full(len(start), uid, np.int64), start, n, key, fp, twice))
+            texts[uid] = data
             size += len(start)
             if size >= FLUSH_RUNS:
                 yield from batches(flush(), schema, 16)
                 held, size = [], 0
+                texts.clear()
         if held:
             yield from batches(flush(), schema, 16)
 
@@ -312,8 +331,28 @@ def _gather(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFr
 PLAN = "uid long, start int, n int, key long, kind int"
 
 
-def _plan(gathered: DataFrame) -> DataFrame:
-    """Rows of kind 1: windows that repeat. Of kind 0: strings whose key others have too, to be sorted."""
+def _grouped(uid: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, fp: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs are sorted, and in which group; a run may be in several. Runs lie in the order of key, hash and place."""
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    of = np.cumsum(new_key) - 1
+    size = np.bincount(of, n + length - 1)
+    small = size[of] <= GROUP_BYTES
+    rows = np.flatnonzero(small)
+    first = new_key | np.concatenate([[True], fp[1:] != fp[:-1]])
+    heads = np.flatnonzero(first & ~small)
+    # The first of each string of a large key in the key's own group; copies by so many, each time with the first.
+    copies = np.flatnonzero(~first & ~small)
+    head = np.flatnonzero(first)
+    mine = head[np.searchsorted(head, copies, "right") - 1]
+    each = np.maximum(1, GROUP_BYTES // (n[copies] + length - 1))
+    turn = (copies - mine - 1) // each
+    group = _mix(fp[copies] + turn.astype(np.uint64) * np.uint64(MULTIPLIER) + np.uint64(1))
+    begins = np.flatnonzero((copies - mine - 1) % each == 0)
+    return np.concatenate([rows, heads, copies, mine[begins]]), np.concatenate([key[rows], key[heads], group, group[begins]])
+
+
+def _plan(gathered: DataFrame, length: int) -> DataFrame:
+    """Rows of kind 1: windows that repeat. Of kind 0: runs whose key others have too, to be sorted in the group ``key``."""
     schema = pa.schema([("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("kind", pa.int32())])
 
     def run(key, table):
@@ -326,16 +365,19 @@ def _plan(gathered: DataFrame) -> DataFrame:
                 parts.append(unpack(blob.as_py(), [np.int64] * 3 + [np.uint64] * 2)[0])
         if parts:
             uid, start, info, k, fp = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((start, uid, fp, k))
-            uid, start, info, k, fp = (x[order] for x in (uid, start, info, k, fp))
-            new_key = np.concatenate([[True], k[1:] != k[:-1]])
-            new = new_key | np.concatenate([[True], fp[1:] != fp[:-1]])
-            out.append((uid[~new], start[~new], info[~new] // 2, np.zeros((~new).sum(), np.int64), np.ones((~new).sum(), np.int32)))
-            group = np.cumsum(new_key) - 1
-            strings = np.bincount(group[new], minlength=group[-1] + 1)
-            sort = new & ((strings[group] > 1) | (info % 2 == 1))
-            out.append((uid[sort], start[sort], info[sort] // 2, k[sort].view(np.int64), np.zeros(sort.sum(), np.int32)))
-        return _table(schema, *(np.concatenate(x) for x in zip(*out)))
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            # Only runs that share their key, or may hold a window twice.
+            some = ~(new & np.concatenate([new[1:], [True]])) | (info[order] % 2 == 1)
+            order = order[some]
+            order = order[np.lexsort((start[order], uid[order], fp[order], k[some]))]
+            uid, start, n, fp = uid[order], start[order], info[order] // 2, fp[order]
+            k = np.sort(k[some])
+            if len(order):
+                which, group = _grouped(uid, start, n, k, fp, length)
+                out.append((uid[which], start[which], n[which], group.view(np.int64), np.zeros(len(which), np.int32)))
+        return _table(schema, *(np.concatenate(x) for x in zip(*out))) if out else _table(schema, *([] for _ in schema))
 
     return gathered.groupBy("part").applyInArrow(run, PLAN)
 
@@ -354,18 +396,22 @@ def _sorted_repeats(docs: DataFrame, plan: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[tuple]:
-            to = np.array([h[0] for h in held])
-            for p in np.unique(to).tolist():
-                mine = [held[i] for i in np.flatnonzero(to == p)]
-                yield p, pack(*(np.array([h[i] for h in mine], np.int64) for i in (1, 2, 3)), body=b"".join(h[4] for h in mine))
+            uid, start, n, group = (np.concatenate(x) for x in list(zip(*held))[:4])
+            bodies = [b for h in held for b in h[4]]
+            to = ((_mix(group) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                k = order[a:b]
+                yield int(to[k[0]]), pack(uid[k], start[k], n[k], group[k], body=b"".join([bodies[i] for i in k.tolist()]))
 
         for batch in part:
-            for uid, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for uid, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.encode()
-                for r in runs:
-                    a, n = r["start"], r["n"]
-                    held.append(((r["key"] & 0xFFFFFFFFFFFFFFFF) * 0xD6E8FEB86659FD93 % (1 << 64) * parts >> 64, uid, a, n, data[a : a + n + length - 1]))
-                    size += n + length - 1
+                start, n, group = (x.to_numpy() for x in runs.values.flatten())
+                start, n = start.astype(np.int64), n.astype(np.int64)
+                held.append((np.full(len(start), uid, np.int64), start, n, group.view(np.uint64), [data[a : a + k] for a, k in zip(start.tolist(), (n + length - 1).tolist())]))
+                size += int(n.sum()) + (length - 1) * len(n)
                 if size >= 8 << 20:
                     yield from batches(flush(), packed, 16)
                     held, size = [], 0
@@ -377,23 +423,32 @@ def _sorted_repeats(docs: DataFrame, plan: DataFrame, length: int) -> DataFrame:
     def sort(key, table):
         cols, bodies = [], []
         for blob in table.column("blob"):
-            arrays, body = unpack(blob.as_py(), [np.int64] * 3)
+            arrays, body = unpack(blob.as_py(), [np.int64] * 3 + [np.uint64])
             cols.append(arrays)
             bodies.append(body)
-        uid, start, n = (np.concatenate(x) for x in zip(*cols))
+        uid, start, n, group = (np.concatenate(x) for x in zip(*cols))
         text = b"".join(bodies)
         size = n + length - 1
         begin = np.cumsum(size) - size
-        order = np.lexsort((start, uid))
-        uid, start, n = uid[order], start[order], n[order]
-        text = b"".join(text[a : a + k] for a, k in zip(begin[order].tolist(), size[order].tolist()))
-        begin = np.cumsum(n + length - 1) - (n + length - 1)
-        again = repeats(list(zip(begin.tolist(), n.tolist())), text, length)
-        of = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of]
-        k = np.flatnonzero(again)
+        # Whole groups to a batch, and within it the order of places.
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(size[order])
+        new = np.concatenate([[True], np.diff(group[order]) != 0])
+        batch = (ends - size[order])[np.flatnonzero(new)] // BATCH_BYTES
+        batch = batch[np.cumsum(new) - 1]
+        order = order[np.lexsort((start[order], uid[order], batch))]
+        batch = np.sort(batch)
+        uid, start, n, size, begin = (x[order] for x in (uid, start, n, size, begin))
+        again = []
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(batch) != 0]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
+            own = b"".join([text[x : x + k] for x, k in zip(begin[a:b].tolist(), size[a:b].tolist())])
+            again.append(repeats(np.cumsum(size[a:b]) - size[a:b], n[a:b], own, length))
+        k = np.flatnonzero(np.concatenate(again))
         if not len(k):
             return _table(out, [], [], [])
+        of = np.repeat(np.arange(len(n)), n)
+        place = _places(start, n)
         new = np.concatenate([[True], (of[k[1:]] != of[k[:-1]]) | (k[1:] != k[:-1] + 1)])
         heads = np.flatnonzero(new)
         return _table(out, uid[of[k[heads]]], place[k[heads]], np.diff(np.concatenate([heads, [len(k)]])))
@@ -414,27 +469,26 @@ def removed_runs(windows: list[int], length: int) -> list[list[int]]:
     return out
 
 
-def find_repeats(spark: SparkSession, docs: DataFrame, length: int = 100, hot_runs: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(docs with uid; uid and windows): the windows of each document that repeat, packed."""
+def find_repeats(spark: SparkSession, rows: DataFrame, length: int = 100, hot_runs: int = 20_000) -> DataFrame:
+    """(uid, windows): the windows of each text that repeat, packed as start x 2^32 + number. rows: (uid unique, text)."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     scratch = Scratch(spark, "suffixes")
-    rows = keyed(docs, scratch)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     hot = _hot_keys(rows, length, parts, hot_runs)
-    plan = scratch.save(_plan(_gather(rows, length, parts, hot)), "plan")
+    plan = scratch.save(_plan(_gather(rows, length, parts, hot), length), "plan")
     scratch.collect_garbage()
     late = scratch.save(_sorted_repeats(rows, plan, length), "late")
     scratch.collect_garbage()
     every = plan.filter("kind = 1").select("uid", "start", "n").unionAll(late)
-    windows = every.groupBy("uid").agg(F.collect_list(F.col("start").cast("long") * (1 << 32) + F.col("n")).alias("windows"))
-    return rows, windows
+    return every.groupBy("uid").agg(F.collect_list(F.col("start").cast("long") * (1 << 32) + F.col("n")).alias("windows"))
 
 
 def removed(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept are the bytes that remain."""
-    rows, windows = find_repeats(spark, docs, length)
+    rows = keyed(docs, Scratch(spark, "suffix-rows"))
+    windows = find_repeats(spark, rows.select("uid", "text"), length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,12 +508,11 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFram
 def cut(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with repeats cut out of text, and n_chars, if there is one, the new number of characters.
 
-    A character that a cut splits goes whole. Rows that lose nothing stay as they are, null texts too. Rows are matched
-    by (doc_id, text), so repeats among rows of one doc_id and one text are cut out of the rows after the first.
+    A character that a cut splits goes whole. Rows that lose nothing stay as they are, null texts too.
     """
-    rows, windows = find_repeats(spark, docs, length)
-    schema = pa.schema([("__kept", pa.string())])
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    uid, windows, kept = (fresh(docs, n) for n in ("uid", "windows", "kept"))
+    rows = with_uid(docs, Scratch(spark, "suffix-rows"), uid)
+    found = find_repeats(spark, rows.select(F.col(uid).alias("uid"), "text"), length).select(F.col("uid").alias(uid), F.col("windows").alias(windows))
 
     def trim(texts: Iterator[tuple]) -> Iterator[str | None]:
         for text, found in texts:
@@ -476,21 +529,11 @@ def cut(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
                 new = pa.array(trim(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], new], names=[*batch.schema.names[2:], schema.names[0]])
-
-    found = windows.select(F.col("uid").alias("__uid"), F.col("windows").alias("__windows"))
-    same = not rows.filter("uid is distinct from doc_id").limit(1).count()
-    if same:
-        joined = docs.withColumn("__uid", F.col("doc_id").cast("long")).join(found, "__uid", "left")
-    else:
-        order = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
-        own = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(order))
-        ids = rows.withColumn("__hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("uid")))
-        found = ids.join(found, ids.uid == found["__uid"]).select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"), F.col("__n").alias("__m"), "__windows")
-        joined = own.join(found, own.doc_id.cast("long").eqNullSafe(found["__id"]) & (own["__hash"] == found["__h"]) & (own["__n"] == found["__m"]), "left")
-    columns = [f for f in docs.schema.fields if f.name in extra or f.name in ("doc_id", "n_chars")]
-    ready = joined.select("text", "__windows", *(f.name for f in columns))
-    done = ready.mapInArrow(run, StructType([*columns, StructField("__kept", StringType())])).withColumnRenamed("__kept", "text")
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], new], names=[*batch.schema.names[2:], kept])
+
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    ready = rows.join(found, uid, "left").select("text", windows, *(f.name for f in others))
+    done = ready.mapInArrow(run, StructType([*others, StructField(kept, StringType())])).withColumnRenamed(kept, "text")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return done.select(*docs.columns)

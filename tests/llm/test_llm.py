@@ -257,9 +257,20 @@ def brute_repeats(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats_match_brute_force(spark, hot, monkeypatch):
+@given(st.lists(st.integers(1, 3), max_size=60), st.integers(3, 1 << 30))
+@settings(max_examples=100, deadline=None)
+def test_suffix_order_of_large_symbols(values, top):
+    s = np.array(values, np.int64) * (top // 3)
+    assert suffixes.suffix_order(s, top).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+
+
+@pytest.mark.parametrize("hot, group", [(20_000, 64 << 10), (1, 64 << 10), (20_000, 500)])
+def test_repeats_match_brute_force(spark, hot, group, monkeypatch):
     monkeypatch.setattr(suffixes.find_repeats, "__defaults__", (100, hot))
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "RUN_WINDOWS", 20)
+    monkeypatch.setattr(suffixes, "FLUSH_RUNS", 150)
     monkeypatch.setattr(suffixes, "PART_BYTES", 4000)
     monkeypatch.setattr(suffixes, "SORT_BYTES", 3000)
     rows = made(n=70) + [(900, "ab" * 300), (901, "x" * 450), (902, "abc" * 90 + "é" * 80), (903, None), (904, "")]
@@ -275,6 +286,35 @@ def test_repeats_with_odd_keys(spark):
     assert collected(suffixes.digests(spark, table(spark, []))) == []
 
 
+def fast_repeats(rows, length):
+    """As brute_repeats, by a set of hashed windows, for long texts; rows lie in order."""
+    seen, out = set(), Counter()
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - length + 1):
+            w = hash(b[i : i + length])
+            if w in seen:
+                gone[i] += 1
+                gone[i + length] -= 1
+            seen.add(w)
+        out[d, len(b), int((np.cumsum(gone)[: len(b)] > 0).sum())] += 1
+    return out
+
+
+def test_repeats_of_long_periodic_texts(spark):
+    rows = [(8, "ab" * 40_000), (9, "0" * 300_000), (10, "abcdefg" * 3000 + "tail"), (11, "0" * 1000 + "1" + "0" * 99), (12, "x" + "abcdefg" * 2000), (13, ("p" * 150 + "q") * 800)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in collected(suffixes.digests(spark, table(spark, rows))))
+    assert got == fast_repeats(rows, 100)
+
+
+def test_cut_with_clashing_names(spark):
+    text = "some words that come again in another text and are long enough to be cut " * 2
+    rows = spark.createDataFrame([(1, text, "u", 1, "k", 5), (None, text, "v", 2, "l", 6), (None, "b", "w", 3, "m", 7)], "doc_id long, text string, uid string, windows int, kept string, uid_part int")
+    got = sorted((r["text"], r["uid"], r["windows"], r["kept"]) for r in collected(suffixes.cut(spark, rows)))
+    assert [g[1:] for g in got] == [("u", 1, "k"), ("w", 3, "m"), ("v", 2, "l")] and [len(g[0]) for g in got] == [0, 1, len(text)]
+
+
 def test_cut_keeps_columns_and_characters(spark):
     text = "".join(chr(0x100 + i) for i in range(70)) + "tail"
     rows = [(1, text), (2, "z" + text), (3, None)]

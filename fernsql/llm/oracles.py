@@ -21,7 +21,15 @@ def _node(e: str) -> str:
 def _absolute(base: str, link: str) -> str:
     root = f"{_part(base, 1)} || '://' || {_part(base, 2)}"
     folder = f"regexp_extract(CASE WHEN {_part(base, 3)} = '' THEN '/' ELSE {_part(base, 3)} END, '(?s)^(.*/)', 1)"
-    return f"CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN starts_with({link}, '//') THEN {_part(base, 1)} || ':' || {link} WHEN starts_with({link}, '/') THEN {root} || {link} ELSE {root} || {folder} || {link} END"
+    return f"CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN starts_with({link}, '//') THEN {_part(base, 1)} || ':' || {link} WHEN starts_with({link}, '/') THEN {root} || {link} WHEN starts_with({link}, '?') THEN {root} || {_part(base, 3)} || {link} WHEN starts_with({link}, '#') THEN {base} ELSE {root} || {folder} || {link} END"
+
+
+def _undotted(url: str) -> str:
+    """The url without ``.`` and ``..`` segments in its path."""
+    path = _part(url, 3)
+    kept = f"list_reduce(list_transform(string_split({path}, '/'), lambda s: [s]), lambda done, s: CASE WHEN s[1] = '.' THEN done WHEN s[1] = '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE done || s END)"
+    whole = f"CASE WHEN regexp_matches({path}, '/[.]{{1,2}}(/|$)') THEN array_to_string({kept}, '/') || CASE WHEN regexp_matches({path}, '/[.]{{1,2}}$') THEN '/' ELSE '' END ELSE {path} END"
+    return f"{_part(url, 1)} || '://' || {_part(url, 2)} || {whole} || {_part(url, 4)}"
 
 
 def url_filter(rules: list[tuple[str, str]]) -> str:
@@ -29,13 +37,14 @@ def url_filter(rules: list[tuple[str, str]]) -> str:
     return f"""
 WITH RECURSIVE rules(said, rule, rhost, rpath) AS (VALUES {values}),
 tags AS (
-  SELECT url, regexp_extract(html, '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1) AS c, regexp_extract(html, '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1) AS m
+  SELECT url, regexp_extract_all(html, '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1) AS c, regexp_extract_all(html, '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1) AS m
   FROM pages WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|http-equiv')),
 links AS (
   SELECT url, replace(link, '&amp;', '&') AS link FROM (
-    SELECT url, regexp_extract(c, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS link FROM tags
-    UNION ALL SELECT url, regexp_extract(m, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags) WHERE link <> ''),
-ends AS (SELECT {_node('url')} AS a, {_absolute('url', 'link')} AS far FROM links),
+    SELECT url, regexp_extract(c, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS link FROM (SELECT url, unnest(c) AS c FROM tags)
+    UNION ALL SELECT url, regexp_extract(m, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM (SELECT url, unnest(m) AS m FROM tags)) WHERE link <> ''),
+places AS (SELECT url, {_absolute('url', 'link')} AS whole FROM links),
+ends AS (SELECT {_node('url')} AS a, {_undotted('whole')} AS far FROM places WHERE contains(whole, '://')),
 edges AS (SELECT DISTINCT a, b FROM (SELECT a, {_node('far')} AS b FROM ends) WHERE b IS NOT NULL AND a <> b),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(n, m) AS (SELECT a, a FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON e.a = r.m),

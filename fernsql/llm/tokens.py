@@ -12,12 +12,13 @@ Layout of a shard (all integers little-endian):
 hash; a reader refuses a dictionary whose hash differs. Files are written under another name and renamed, so a
 retried task replaces its own work and a half-written shard is never read.
 
-Null texts count as empty: just the end id. Rows of one doc_id are separate documents, in order of text.
-A null doc_id comes first and is stored as the least 64-bit integer.
+Null texts count as empty: just the end id. Rows of one doc_id are separate documents, in the order of a hash of the
+text, then of their ids. A null doc_id comes first and is stored as the least 64-bit integer.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import os
@@ -25,12 +26,14 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -171,20 +174,28 @@ def write_file(uri: str, name: str, data: bytes) -> None:
     part = f"{root}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         out.write(data)
-    fs.move(part, f"{root}/{name}")
+    try:
+        fs.move(part, f"{root}/{name}")
+    except OSError:  # a store that refuses to replace what an earlier try of this task left
+        if fs.get_file_info(f"{root}/{name}").type == pyarrow.fs.FileType.NotFound:
+            raise
+        fs.delete_file(f"{root}/{name}")
+        fs.move(part, f"{root}/{name}")
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, whole: bool = False) -> bytes:
-    """A dictionary from the id arrays of at most SAMPLE_ROWS rows, spread over the table by a hash of doc_id."""
-    share = max(1, docs.select("doc_id").count() // SAMPLE_ROWS)
-    rows = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(share)) == 0).limit(SAMPLE_ROWS)
+    """A dictionary from the id arrays of at most SAMPLE_ROWS rows: those of the least hashes of doc_id, then of text."""
+    order = F.xxhash64("doc_id", F.lit("dictionary"))
+    ids = [r.doc_id for r in docs.select("doc_id").filter("doc_id is not null").orderBy(order, "doc_id").limit(SAMPLE_ROWS).collect()]
+    # Parquet skips row groups that have none of the ids. A repeated id brings more rows, of which the limit takes no more.
+    rows = docs.filter(F.col("doc_id").isin(ids)).orderBy(order, "doc_id", F.xxhash64("text")).limit(SAMPLE_ROWS)
     schema = pa.schema([("ids", pa.binary())])
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(tokenizer_path, whole)
         return batches(((_pack(encoder.encode(t or ""), end_id, width)[:SAMPLE_BYTES],) for (t,) in rows_of(part, "text")), schema)
 
-    samples = [bytes(r.ids) for r in rows.select("text").mapInArrow(run, "ids binary").collect()]
+    samples = [bytes(r.ids) for r in rows.select("text").repartition(16).mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train from: their bytes serve as a raw dictionary
@@ -196,6 +207,19 @@ def _pack(ids: bytes, end_id: int, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
+def range_bounds(ids: DataFrame, ranges: int, null_ranges: int) -> list[tuple[int, int]]:
+    """Sorted bounds (id, hash of text) of about so many even ranges; where they fall changes no result.
+
+    An id of many rows is several quantiles at once; its rows are parted by the hash, as are those without id.
+    """
+    shares = [i / ranges for i in range(1, ranges)]
+    found = Counter(int(x) for x in ids.approxQuantile("doc_id", shares, 0.1 / ranges)) if shares else Counter()
+    bounds = [(i, -(1 << 63)) for i in found]
+    for i, times in [*found.items(), (NULL_ID, null_ranges)]:
+        bounds += [(i, (k << 64) // (times + 1) - (1 << 63)) for k in range(1, times + 1) if times > 1]
+    return sorted(set(bounds))
+
+
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, uri: str, shard_rows: int = 4096, level: int = 3, whole: bool = False) -> DataFrame:
     """Writes shards to the folder at uri; returns (shard long, documents long, tokens long).
 
@@ -206,12 +230,10 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     dictionary = train_dictionary(docs, tokenizer_path, end_id, width, whole)
     hashed = hashlib.sha256(dictionary).digest()
     write_file(uri, f"{hashed.hex()}.zdict", dictionary)
-    n = docs.select("doc_id").count()
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
     ranges = max(1, min(MOST_RANGES, -(-n // shard_rows)))
-    # Bounds of the ranges from the ids alone; where they fall changes no result.
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = np.array(sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", shares, 0.1 / ranges)}) if shares else [], np.int64)
-    schema = pa.schema([("part", pa.int32()), ("o", pa.int64()), ("text_hash", pa.string()), ("n", pa.int64()), ("frame", pa.binary())])
+    bounds = range_bounds(docs.select("doc_id"), ranges, (n - known) * ranges // max(1, n))
+    schema = pa.schema([("part", pa.int32()), ("o", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
     # The dictionary has a fixed size, so it goes with the function.
 
     def compress(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +246,13 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
                 for (doc_id, _), text, ids in zip(rows, texts, encoder.encode_all(texts)):
                     data = _pack(ids, end_id, width)
                     o = NULL_ID if doc_id is None else doc_id
-                    yield int(np.searchsorted(bounds, o, "right")), o, text[:16], len(data) // width, z.compress(data)
+                    h = xxhash.xxh64_intdigest(text) - (1 << 63)
+                    yield bisect.bisect_right(bounds, (o, h)), o, h, len(data) // width, z.compress(data)
 
         return batches(each(), schema)
 
-    frames = docs.mapInArrow(compress, "part int, o long, text_hash string, n long, frame binary")
-    placed = frames.repartition(ranges, "part").sortWithinPartitions("part", "o", "text_hash", "n", "frame")
+    frames = docs.mapInArrow(compress, "part int, o long, h long, n long, frame binary")
+    placed = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "o", "h", "n", "frame")
     out = pa.schema([("shard", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def write(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

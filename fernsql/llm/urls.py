@@ -6,9 +6,9 @@ urls; connected components over them are aliases of one another. A block by a ru
 it of a linked url that isn't in the table, blocks every alias that no rule allows: an explicit rule on a url
 always comes before what its aliases hand on. Everything else is allowed.
 
-A url's node is the url without fragment, scheme and host in lower case. Null urls and urls without ``://`` have
-empty host and path, no rule and no node. Repeated rows each get the verdict. Hosts and hot components are never
-gathered: verdicts of a component meet by partial aggregation.
+A url's node is the url without fragment, scheme and host in lower case; links are resolved by RFC 3986. Null urls and urls without ``://`` have
+empty host and path, no rule and no node. Repeated rows each get the verdict. Hosts, hot urls and hot components are
+never gathered: verdicts of a component meet by partial aggregation, and go back to its urls by ``join_hot``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 from .components import connected_components
 
 PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)"
@@ -59,27 +59,39 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("node").agg(best.alias("best")).select("node", "best.rule", "best.said")
 
 
+def _undotted(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments, by RFC 3986."""
+    segments = F.split(path, "/", -1)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(s == "..", up(done)).otherwise(F.concat(done, F.array(s))))
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def _absolute(base: Column, link: Column) -> Column:
     """A link resolved against the url of its page."""
     scheme, place = F.regexp_extract(base, PARTS, 1), F.regexp_extract(base, PARTS, 2)
     root = F.concat(scheme, F.lit("://"), place)
     folder = F.regexp_extract(F.when(path(base) == "", "/").otherwise(path(base)), r"(?s)^(.*/)", 1)
-    return (
+    whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path(base), link))
+        .when(link.startswith("#"), base)
         .when(link != "", F.concat(root, folder, link))
     )
+    return F.concat(F.regexp_extract(whole, PARTS, 1), F.lit("://"), F.regexp_extract(whole, PARTS, 2), _undotted(path(whole)), F.regexp_extract(whole, PARTS, 4))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): the nodes of pages and of their canonical links and refresh redirects."""
-    canonical = F.regexp_extract("html", r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    href = F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("html", r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    target = F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    """(a, b): the nodes of pages and of all their canonical links and refresh redirects."""
+    canonical = F.regexp_extract_all("html", F.lit(r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""), F.lit(1))
+    refresh = F.regexp_extract_all("html", F.lit(r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)"""), F.lit(1))
+    href = F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    target = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     linked = pages.filter(F.contains("url", F.lit("://")) & F.expr("html rlike '(?i)canonical|http-equiv'"))
-    both = linked.select("url", F.explode(F.array(href, target)).alias("link")).filter("link != ''").withColumn("link", F.replace(F.col("link"), F.lit("&amp;"), F.lit("&")))
+    both = linked.select("url", F.explode(F.concat(href, target)).alias("link")).filter("link != ''").withColumn("link", F.replace(F.col("link"), F.lit("&amp;"), F.lit("&")))
     return both.select(node(F.col("url")).alias("a"), node(_absolute(F.col("url"), F.col("link"))).alias("b")).filter("b is not null")
 
 
@@ -92,11 +104,13 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, redirec
     edges = scratch.save(edges.distinct(), "edges")
     components = connected_components(edges, scratch)
     keyed = pages.select("page_id", "url", node(F.col("url")).alias("node"))
-    judged = scratch.save(judge(keyed.select("node").unionAll(components.select("node")).filter("node is not null").distinct(), rules), "judged")
-    blocked = components.join(judged.filter("said = 'block'"), "node").select("component").distinct().withColumn("blocked", F.lit(True))
-    aliases = components.join(blocked, "component", "left")
-    verdict = F.coalesce("said", F.when(F.col("blocked"), "block"), F.lit("allow"))
-    return (
-        keyed.join(judged, "node", "left").join(aliases, "node", "left")
-        .select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "rule", verdict.alias("verdict"), "component")
-    )
+    own = keyed.filter("node is not null").groupBy("node").agg(F.count("*").alias("pages"))
+    judged = scratch.save(judge(own.select("node").unionAll(components.select("node")).distinct(), rules), "judged")
+    blocks = components.join(judged.select("node", F.col("said")), "node", "left").groupBy("component").agg(F.max(F.coalesce(F.col("said") == "block", F.lit(False))).alias("blocked"), F.count("*").alias("nodes"))
+    aliases = join_hot(components, blocks, ["component"], "nodes")
+    verdict = F.coalesce("said", F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict")
+    # A page table may hold one url very often, and many rows without one; these meet nothing.
+    known = scratch.save(own.join(judged, "node", "left").join(aliases, "node", "left").select("node", "pages", "rule", verdict, "component"), "known")
+    judged_pages = join_hot(keyed.filter("node is not null"), known, ["node"], "pages").select("page_id", "url", "rule", "verdict", "component")
+    others = keyed.filter("node is null").select("page_id", "url", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("component"))
+    return judged_pages.unionAll(others).select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "rule", "verdict", "component")

@@ -166,6 +166,7 @@ def test_url_oracle_follows_links(spark):
 
     link = '<LINK href="{}" rel="canonical">'
     rows = [(0, "http://a.net/1", link.format("//B.net/2?x=1&amp;y=2")), (1, "http://b.net/2?x=1&y=2#top", "<meta http-equiv=refresh content='0; url=http://x.com/de/bad'>"), (2, "HTTP://x.com/fr/ok", link.format("http://a.net/1")), (3, "http://c.net/p/q", link.format("r")), (4, "http://c.net/p/r", None), (5, None, "x"), (6, "http://c.net", link.format("/p/r")), (7, "http://org/", link.format("http://org/#self"))]
+    rows += [(8, "http://e.net/a/b/c?q", link.format("../../d/./x") + link.format("?z=1")), (9, "http://e.net/d/x", None), (10, "http://e.net/a/b/c?z=1", link.format("#top") + link.format("http://x.com/fr/../de/y/..")), (11, "http://x.com/de/", "")]
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id bigint, url varchar, html varchar)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
@@ -178,6 +179,18 @@ def test_url_oracle_follows_links(spark):
     assert sorted(str({c: r[c] for c in rel.columns}) for r in collected(found)) == want
 
 
+@pytest.mark.parametrize("hot", [10**6, 2])
+def test_url_filter_with_hot_urls(spark, hot, monkeypatch):
+    """Repeated urls, a large component and many rows without url get the verdicts of single ones."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    link = '<link href="http://x.com/de/bad" rel="canonical">'
+    rows = [(i, "http://hub.net/", link) for i in range(30)] + [(100 + i, f"http://n{i}.net/", link) for i in range(30)] + [(200 + i, None, link) for i in range(30)] + [(300, "http://free.net/", "")]
+    got = {r["page_id"]: (r["verdict"], r["component"]) for r in collected(urls.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(URL_RULES, "verdict string, rule string")))}
+    assert got == {i: ("block", "http://hub.net/") if i < 200 else ("allow", None) for i, *_ in rows}
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert collected(urls.filter_urls(spark, empty, spark.createDataFrame(URL_RULES, "verdict string, rule string"))) == []
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]
@@ -665,6 +678,47 @@ def test_stages_keep_columns(spark, rows):
     assert docs.count() <= len(rows)
 
 
+def test_stages_row_by_row(spark):
+    """Which rows stay, on nulls, repeated ids and rows: each stage against brute force on what the one before left."""
+    sf = "/root/testdata/sf0.001"
+    item = next(r["text"] for r in common.read(spark, sf, "benchmark").collect() if len(r["text"].split()) > 12)
+    long = " ".join(f"word{i}" for i in range(90))
+    rows = ODD + made(n=14) + [(None, item), (5, "x " + item), (21, long), (21, long + " end"), (None, long), (21, "another text under one id"), (None, "unlike all others, without id")]
+    steps = dict(pipeline.STAGES)
+    as_rows = lambda df: [(r["doc_id"], r["text"]) for r in collected(df)]
+    model = toxicity.fit(spark, table(spark, rows), common.read(spark, sf, "labels"))
+    scores, _ = toxicity.score(model, [t or "" for _, t in rows])
+    clean = [r for r, s in zip(rows, scores) if s < 0.5]
+    got = as_rows(steps["toxicity"](spark, table(spark, rows), sf))
+    assert Counter(got) == Counter(clean)
+    roots = brute_groups([t for _, t in clean])
+    groups: dict = {}
+    for root, (d, t) in zip(roots, clean):
+        groups.setdefault(root, []).append((d is None, d or 0, t))
+    one = as_rows(steps["simhash"](spark, table(spark, clean), sf))
+    # One row of each group, with the least id of the group.
+    assert len(one) == len(groups)
+    left = [sorted(g, key=lambda r: r[:2]) for g in groups.values()]
+    for d, t in one:
+        mine = next(g for g in left if (d is None, d or 0) == g[0][:2] and t in [x for *r, x in g if tuple(r) == g[0][:2]])
+        left.remove(mine)
+    cut = as_rows(steps["suffixes"](spark, table(spark, one), sf))
+    # Within an id the order is that of a text's hash, so what stays of all texts is compared, not where.
+    assert Counter(d for d, _ in cut) == Counter(d for d, _ in one)
+    order = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(one)], "i int, text string").select("i", F.xxhash64("text")).collect()
+    by = {r[0]: r[1] for r in order}
+    ranked = sorted(range(len(one)), key=lambda i: (one[i][0] is not None, one[i][0] or 0, by[i], one[i][1] is not None, one[i][1] or ""))
+    whole = sum((n - m) * k for (_, n, m), k in fast_repeats([one[i] for i in ranked], 100).items())
+    # A character that is cut in two goes whole.
+    assert 0 <= whole - sum(len((t or "").encode()) for _, t in cut) <= 4 * len(one)
+    items = [tuple(r) for r in common.read(spark, sf, "benchmark").select("item_id", "text").collect()]
+    want = Counter(r for r in cut if not list(brute_hits([r], items, 10))[0][-1])
+    kept = as_rows(steps["decontamination"](spark, table(spark, cut), sf))
+    assert Counter(kept) == want and (None, item) not in kept
+    ids = collected(steps["byte_bpe"](spark, table(spark, kept), sf))
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in ids) == Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in kept)
+
+
 def five_word_sets(texts):
     for t in texts:
         w = (t or "").encode().translate(common.FOLD).split()

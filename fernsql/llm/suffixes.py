@@ -10,7 +10,7 @@ keys, and their suffixes sorted by the difference-cover method (``suffix_order``
 sorted and named, recursion on the names, the remaining suffixes sorted by one symbol and a name, and both merged. Neighbours
 in that order whose first ``length`` bytes agree are one window's places; the first place stays.
 
-Skew: runs of one batch of a task whose bytes are equal go on as the first of them. Runs of one key that together
+Skew: of runs of one batch of a task whose bytes are equal, the first BATCH_COPIES go on. Runs of one key that together
 exceed GROUP_BYTES are sorted in groups: one has the first of each different string, the others some copies each with the
 first of theirs, against which the sort holds them. Keys that many runs have are found first, by counts that grow with
 the number of tasks; windows of such a key are dealt out singly, by a hash of all their bytes.
@@ -39,6 +39,8 @@ GRAM = 16
 PART_BYTES, SORT_BYTES = 12 << 20, 3 << 19
 #: Suffixes that are sorted at once, about: whole keys, so few that the sort stays in the cache.
 BATCH_BYTES = 100_000
+#: Runs with equal bytes that a batch of a task sends on; of more only so many go through the sort.
+BATCH_COPIES = 16
 #: Windows of a run, and bytes of a key that are sorted in one group, at most.
 RUN_WINDOWS, GROUP_BYTES = 512, 64 << 10
 #: Runs that a task holds before it sends them on.
@@ -279,7 +281,7 @@ def _table(schema: pa.Schema, *arrays) -> pa.Table:
 
 
 def _gather(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFrame:
-    """(part, kind, blob): runs for their key's part; of those of one batch with equal bytes the first, later ones as repeats."""
+    """(part, kind, blob): runs for their key's part; of those of one batch with equal bytes the first few, the rest as repeats."""
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +298,9 @@ def _gather(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFr
             heads = np.flatnonzero(new)
             later = np.flatnonzero(~new)
             of = heads[np.searchsorted(heads, later, "right") - 1]
+            few = (later - of < BATCH_COPIES) & (n[later] > 1)  # hot keys' single windows go once
+            new[later[few]] = True
+            later, of = later[~few], of[~few]
             for k, a, i, b, j, size_ in zip(later.tolist(), uid[of].tolist(), start[of].tolist(), uid[later].tolist(), start[later].tolist(), (n[later] + length - 1).tolist()):
                 new[k] = texts[a][i : i + size_] != texts[b][j : j + size_]
             if not new.all():

@@ -277,8 +277,9 @@ def test_suffix_order_of_large_symbols(values, top):
     assert suffixes.suffix_order(s, top).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
 
 
-@pytest.mark.parametrize("hot, group", [(20_000, 64 << 10), (1, 64 << 10), (20_000, 500)])
-def test_repeats_match_brute_force(spark, hot, group, monkeypatch):
+@pytest.mark.parametrize("hot, group, copies", [(20_000, 64 << 10, 16), (1, 64 << 10, 1), (20_000, 500, 2)])
+def test_repeats_match_brute_force(spark, hot, group, copies, monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH_COPIES", copies)
     monkeypatch.setattr(suffixes.find_repeats, "__defaults__", (100, hot))
     monkeypatch.setattr(suffixes, "GROUP_BYTES", group)
     monkeypatch.setattr(suffixes, "BATCH_BYTES", 2000)

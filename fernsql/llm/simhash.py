@@ -11,7 +11,8 @@ blocks, so that what is sent stays small beside what is compared.
 ``near_copies`` links texts whose sets of shingles have a Jaccard similarity of ``least`` or more: candidates are
 pairs of 256-bit fingerprints of the sets within WIDE_RADIUS bits, and FIRST_RADIUS among the first 64; candidates are
 confirmed by the exact similarity of their sets. Tiles of sets whose sizes already rule the similarity out are skipped
-too. A pair at 0.8 differs by 39 bits on average, with a deviation of 6, so one in some 100,000 is missed.
+too. A pair at 0.8 differs by 39 bits on average, with a deviation of 6, and by 10 among the first 64, with one of 3, so one in
+some 10,000 is missed.
 
 Nulls and texts without words have fingerprint zero and no shingles; they link as any other. Repeated rows share a
 component.
@@ -33,8 +34,8 @@ from .common import FOLD, Scratch, batches, join_hot, rows_of
 from .components import connected_components
 
 U = np.uint64
-#: Fingerprints from which tiles go by eight blocks' bit counts instead of four.
-MANY = 4_000_000
+#: Blocks whose bit counts make a tile, up to so many fingerprints: more blocks skip more pairs, and send more.
+BLOCKS = (2, 1_000_000), (4, 50_000_000), (8, None)
 #: Fewest and most fingerprints of a piece of a tile.
 PIECES = 4096, 131_072
 #: Bits by which candidates for near copies differ at most: of 256, and of the first 64.
@@ -166,9 +167,13 @@ def block_offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     return [d for d in vectors(blocks, radius) if d > (0,) * blocks]
 
 
-def compare(rows: DataFrame, words: list[str], steps: list[int], rows_each: int, radius: int, first_radius: int | None = None) -> DataFrame:
-    """(a, b): names of linked rows (tile long, name long, words); tiles meet themselves and the tiles these steps on."""
+def compare(rows: DataFrame, words: list[str], steps: list[int], rows_each: int, radius: int, first_radius: int | None = None, few: bool = True) -> DataFrame:
+    """(a, b): names of linked rows (tile long, name long, words); tiles meet themselves and the tiles these steps on.
+
+    Without words the name is the fingerprint. few: the number of possible tiles is bounded by 100,000.
+    """
     sizes = rows.groupBy("tile").count().select("tile", F.ceil(F.col("count") / rows_each).cast("int").alias("cuts"))
+    sizes = F.broadcast(sizes) if few else sizes
     placed = rows.join(sizes, "tile").withColumn("cut", F.pmod(F.xxhash64("name"), F.col("cuts")).cast("int"))
     pieces = placed.groupBy("tile", "cut").agg(F.collect_list(F.struct("name", *words)).alias("rows"))
     meet = pieces.select(F.col("tile").alias("own"), F.col("cut").alias("own_cut"), "rows", F.explode(F.array(*(F.lit(s).cast("long") for s in [0, *steps]))).alias("step"))
@@ -179,7 +184,7 @@ def compare(rows: DataFrame, words: list[str], steps: list[int], rows_each: int,
 
     def unpacked(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         name, *rest = (x.to_numpy() for x in rows.values.flatten())
-        return name, np.stack(rest, 1).view(U)
+        return name, np.stack(rest or [name], 1).view(U)
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -202,14 +207,14 @@ def compare(rows: DataFrame, words: list[str], steps: list[int], rows_each: int,
 def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, rows_each: int | None = None) -> DataFrame:
     """(a long, b long): links between distinct fingerprints (column fp) that connect all within the radius."""
     n = fps.count() if blocks is None or rows_each is None else 0
-    blocks, rows_each = blocks or (4 if n < MANY else 8), rows_each or piece_rows(n)
+    blocks, rows_each = blocks or next(b for b, most in BLOCKS if most is None or n <= most), rows_each or piece_rows(n)
     bits = 64 // blocks
     count = [F.bit_count(F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit((1 << bits) - 1))) for i in range(blocks)]
     # A block's count is at most its bits; the base keeps codes of neighbours apart.
     base = bits + 2 * radius + 1
     tile = sum((c.cast("long") * base**i for i, c in enumerate(count)), F.lit(0).cast("long"))
     steps = [sum(d * base**i for i, d in enumerate(off)) for off in block_offsets(blocks, radius)]
-    return compare(fps.select(tile.alias("tile"), F.col("fp").alias("name"), F.col("fp").alias("w0")), ["w0"], steps, rows_each, radius)
+    return compare(fps.select(tile.alias("tile"), F.col("fp").alias("name")), [], steps, rows_each, radius, few=blocks <= 4)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:

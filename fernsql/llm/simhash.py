@@ -41,8 +41,8 @@ PIECES = 4096, 131_072
 #: Bits by which candidates for near copies differ at most: of 256, and of the first 64.
 WIDE_RADIUS, FIRST_RADIUS = 64, 20
 SEEDS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 4).astype(U)
-#: Shingles of the sets that are confirmed together, about.
-PIECE = 1_000_000
+#: Shingles of the sets that are confirmed together, at most about; a candidate group of more than SPREAD goes to several tasks.
+PIECE, SPREAD = 1_000_000, 10_000
 
 
 # Fingerprints -------------------------------------------------------------------------------------------------
@@ -303,9 +303,9 @@ def _confirmed(members: DataFrame, docs: DataFrame, shingle: int, least: float)
     """(a, b): links between sets; members (component, name, n) are the candidates, names rows of docs.
 
     What candidates connect is compared exactly, each pair that isn't connected already; a large component in pieces,
-    each pair of pieces a unit of its own.
+    each pair of pieces a unit of its own. Pieces grow with the root of the component, up to a bound.
     """
-    sizes = members.groupBy("component").agg(F.sum("n").alias("all")).select("component", F.ceil(F.col("all") / PIECE).cast("int").alias("cuts"))
+    sizes = members.groupBy("component").agg(F.sum("n").alias("all")).select("component", F.greatest(F.ceil(F.sqrt(F.col("all") / SPREAD)), F.ceil(F.col("all") / PIECE)).cast("int").alias("cuts"))
     cut = members.join(sizes, "component").withColumn("cut", F.pmod(F.xxhash64("name"), F.col("cuts")).cast("int"))
     other = F.explode(F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("cuts") - 1), F.col("cut"))))
     texts = docs.select(F.col("row").alias("name"), "text")

@@ -182,6 +182,7 @@ def test_url_oracle_follows_links(spark):
 @pytest.mark.parametrize("hot", [10**6, 2])
 def test_url_filter_with_hot_urls(spark, hot, monkeypatch):
     """Repeated urls, a large component and many rows without url get the verdicts of single ones."""
+    monkeypatch.setattr(components, "FEW_EDGES", hot - 2)
     monkeypatch.setattr(common, "HOT_ROWS", hot)
     link = '<link href="http://x.com/de/bad" rel="canonical">'
     rows = [(i, "http://hub.net/", link) for i in range(30)] + [(100 + i, f"http://n{i}.net/", link) for i in range(30)] + [(200 + i, None, link) for i in range(30)] + [(300, "http://free.net/", "")]
@@ -191,7 +192,10 @@ def test_url_filter_with_hot_urls(spark, hot, monkeypatch):
     assert collected(urls.filter_urls(spark, empty, spark.createDataFrame(URL_RULES, "verdict string, rule string"))) == []
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("few, hot", [(300_000, 10**6), (0, 10**6), (0, 3)])
+def test_components_match_brute_force(spark, few, hot, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(5)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]
     parent = {x: x for e in edges for x in e}

@@ -14,8 +14,10 @@ send their sorted, packed distinct n-grams to ranges; a range merges them, write
 (n-grams and counts; of contexts the sums that give their weights) and answers each block in the order it asked: counts,
 places, and the sums of its contexts. An n-gram is named by its range and place, so one of order m + 1 is a name and
 a word. A context lies in one range; one of over HOT_CONTEXT tokens is spread over as many as its count asks for, and
-its sums meet by a further exchange. A word or n-gram is one entry of a block however often it occurs. A block then
-evaluates its tokens from the lowest order up, which is the recursion read from its end.
+its sums meet by a further exchange. A word or n-gram is one entry of a block however often it occurs. A word or n-gram
+that only one block has is marked so in the answer: what follows it can't be elsewhere, so the block counts such longer
+n-grams itself (they are in its partition of tokens) and doesn't send them. A block then evaluates its tokens from the
+lowest order up, which is the recursion read from its end.
 
 Words meet by their 64-bit XXH64. Null texts are empty: one end. A null id hashes as the empty text. Repeated rows
 each count. Without training rows all words are unseen and every probability is 1.
@@ -34,12 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, Scratch, batches, rows_of
 from .suffixes import pack, unpack
+from .tokens import open_fs, write_file
 
 BLOCK_TOKENS = 1_000_000
 #: Entries of all blocks that a range merges, about.
 RANGE_ENTRIES = 1_500_000
 #: Tokens of a context that lie in one range; a more frequent one is spread.
 HOT_CONTEXT = 400_000
+#: In how many turns orders above two are exchanged: the shuffle files of one are gone before the next.
+TURNS = 2
 #: Counts up to this are discounted.
 K = 5
 #: Keys that no word has, as words hold no space.
@@ -48,7 +53,7 @@ ROWS = "block long, kind int, part int, blob binary"
 SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 U, I, D = np.uint64, np.int64, np.float64
 #: Kinds of rows.
-DOCS, SEQUENCE, WORDS, ASKED, ASKED_HOT, ANSWER, STATS, TABLE, SUMS, CONTEXTS, HOT_ASKED, HOT_ANSWER = range(12)
+WORDS, ASKED, ASKED_HOT, ANSWER, STATS, TABLE, SUMS, CONTEXTS, HOT_ASKED, HOT_ANSWER = range(10)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -80,8 +85,12 @@ def _heads(a: np.ndarray) -> np.ndarray:
 # Blocks -------------------------------------------------------------------------------------------------------
 
 
-def blocks(docs: DataFrame, modulus: int) -> DataFrame:
-    """Rows of kinds DOCS (id, null, tokens, held out), SEQUENCE (word numbers) and WORDS (sorted keys, training counts)."""
+def blocks(docs: DataFrame, modulus: int, uri: str) -> DataFrame:
+    """Rows of kind WORDS: sorted keys and training counts, that of the start being its texts'; part: tokens.
+
+    A block's documents (id, null, tokens, held out) and word numbers are a file in the folder at uri, which a retried
+    task writes again alike.
+    """
 
     def run(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,9 +114,11 @@ def blocks(docs: DataFrame, modulus: int) -> DataFrame:
             numbers = rank[np.concatenate(seq)]
             doc_id, null, n, out = (np.array(x, I) for x in zip(*meta))
             counts = np.bincount(numbers[np.repeat(out == 0, n)], minlength=len(keys))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block] * 3), pa.array([DOCS, SEQUENCE, WORDS], pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([pack(doc_id, null, n, out), pack(numbers, body=int(rank[1]).to_bytes(8, "little")), pack(keys[order], counts.astype(I))], pa.binary())], schema=SCHEMA
-            )
+            counts[rank[1]] = (out == 0).sum()
+            tokens = pack(numbers, body=int(rank[1]).to_bytes(8, "little"))
+            about = pack(doc_id, null, n, out)
+            write_file(uri, f"{block}.tokens", len(about).to_bytes(8, "little") + about + tokens)
+            return _table([(block, WORDS, len(numbers), pack(keys[order], counts.astype(I)))]).to_batches()[0]
 
         for doc_id, text in rows_of(part, "doc_id", "text"):
             if not ids:
@@ -173,7 +184,7 @@ def _stats(counts: np.ndarray, places: int) -> bytes:
 
 
 def count_words(words: DataFrame, parts: int) -> DataFrame:
-    """TABLE: keys and counts of a range. ANSWER to each block: counts, and places in the range. STATS."""
+    """TABLE: keys, counts and places of a range. ANSWER to each block: counts (and if only it has the word), and places. STATS."""
 
     def ask(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -189,12 +200,16 @@ def count_words(words: DataFrame, parts: int) -> DataFrame:
         got = [unpack(x, [U, I])[0] for _, _, x in asked]
         keys, place = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
         c = np.bincount(place, np.concatenate([n for _, n in got]), len(keys)).astype(I)
+        alone = np.bincount(place, minlength=len(keys)) == 1
+        # Frequent words get low numbers, which pack better.
+        number = np.empty(len(keys), I)
+        number[np.argsort(-c, kind="stable")] = np.arange(len(keys))
         p, at, rows = key[0].as_py(), 0, []
         for (_, block, _), (k, _) in zip(asked, got):
             mine = place[at : at + len(k)]
             at += len(k)
-            rows.append((block, ANSWER, p, pack(c[mine], _deltas(mine.astype(I)))))
-        return _table([*rows, (0, STATS, p, _stats(c, len(keys))), (0, TABLE, p, pack(keys, c))])
+            rows.append((block, ANSWER, p, pack(c[mine] * 2 + alone[mine], number[mine])))
+        return _table([*rows, (0, STATS, p, _stats(np.where(keys == U(START), 0, c), len(keys))), (0, TABLE, p, pack(keys, c, number))])
 
     return words.select("block", "blob").mapInArrow(ask, ROWS).groupBy("part").applyInArrow(merge, ROWS)
 
@@ -208,52 +223,84 @@ def _spread(code: np.ndarray) -> np.ndarray:
     return (x * U(0xBF58476D1CE4E5B9)) >> U(32)
 
 
-def _answers(table, level: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and names of a block's n-grams of a level, in the order of both."""
+def _answers(table, level: int, shift: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and names of a block's n-grams of a level, in the order asked, and which only this block has.
+
+    A word's name is its place and then its range, an n-gram's its range and then its place.
+    """
     c, ids = [], []
     for p, _, blob in _blobs(table, ANSWER + 100 * level):
-        (n, steps), _ = unpack(blob, [I, I])
+        (n, places), _ = unpack(blob, [I, I])
         c.append(n)
-        ids.append(_sums(steps) + (p << shift))
-    return (np.concatenate(c), np.concatenate(ids)) if c else (np.zeros(0, I), np.zeros(0, I))
+        ids.append(places * parts + p if level == 1 else _sums(places) + (p << shift))
+    c, ids = (np.concatenate(x) if x else np.zeros(0, I) for x in (c, ids))
+    return c >> 1, ids, c % 2 == 1
+
+
+def _homes(name: np.ndarray, level: int, parts: int, shift: int) -> np.ndarray:
+    """The range of n-grams with a context of that name: for words by a hash, for n-grams that of the context itself."""
+    return (_spread(name) * U(parts) >> U(32)).astype(I) if level == 2 else name >> shift
 
 
 class Block:
-    """A block's tokens, and for each level its n-grams: counts, names, and which one ends at each token (-1: none)."""
+    """A block's tokens, and for each level its n-grams: counts, names, and which one ends at each token (-1: none).
 
-    def __init__(self, table, shifts: list[int]):
-        self.table, self.shifts = table, shifts
-        (self.doc_id, self.null, self.n, self.out), _ = unpack(_blobs(table, DOCS)[0][2], [I] * 4)
-        (self.seq,), body = unpack(_blobs(table, SEQUENCE)[0][2], [I])
-        self.start = int.from_bytes(body, "little")
+    own: which n-grams only this block has. Those that follow such a context come last and have no name.
+    """
+
+    def __init__(self, uri: str, block: int, table, parts: list[int], shifts: list[int]):
+        self.table, self.parts, self.shifts = table, parts, shifts
+        fs, root = open_fs(uri)
+        with fs.open_input_stream(f"{root}/{block}.tokens") as f:
+            data = f.read()
+        size = int.from_bytes(data[:8], "little")
+        (self.doc_id, self.null, self.n, self.out), _ = unpack(data[8 : 8 + size], [I] * 4)
+        (self.seq,), body = unpack(data[8 + size :], [I])
+        count, name, own = _answers(table, 1, shifts[0], parts[0])
+        # Words are numbered in the order of their names.
+        order = np.argsort(name)
+        rank = np.empty(len(order), I)
+        rank[order] = np.arange(len(order))
+        self.count, self.name, self.own = count[order], name[order], own[order]
+        self.seq, self.start = rank[self.seq], int(rank[int.from_bytes(body, "little")])
         self.place = np.arange(len(self.seq)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.trained = np.repeat(self.out == 0, self.n)
-        self.count, self.name = _answers(table, 1, shifts[0])
-        self.gram, self.words, self.word_count = self.seq, self.name, self.count
+        self.gram, self.words = self.seq, self.name
 
-    def grams(self, level: int, parts: int) -> dict:
-        """The distinct n-grams of the next level, in the order of their ranges and of context and word in these.
+    def grams(self, level: int) -> dict:
+        """The distinct n-grams of the next level: those to ask for in the order of ranges, context and word, then the own.
 
         at: tokens that have one. of: which. context, word, lower: places among the contexts (n-grams of the level
-        before), words, and n-grams of the level before.
+        before), words, and n-grams of the level before. r: training counts in the block. sent: how many are to ask for.
         """
+        parts = self.parts[level - 1]
         at = np.flatnonzero(self.place >= level - 2)
         before = np.where(self.place[at] == 0, self.start, self.seq[at - 1]) if level == 2 else self.gram[at - 1]
         unique, first, of = np.unique(before * len(self.words) + self.seq[at], return_index=True, return_inverse=True)
         context, word = before[first], self.seq[at[first]]
-        total = self.count[context]
-        home = (_spread(self.name[context]) * U(parts) >> U(32)).astype(I)
+        own = self.own[context]
+        total = np.where(own, 0, self.count[context])
+        home = _homes(self.name[context], level, parts, self.shifts[level - 2])
         hot = total > HOT_CONTEXT
-        part = home.copy()
+        part = np.where(own, parts, home)
         part[hot] = (home[hot] + _spread(self.words[word[hot]]).astype(I) % -(-total[hot] // HOT_CONTEXT)) % parts
         order = np.argsort(part * 2 + hot, kind="stable")
         rank = np.empty(len(order), I)
         rank[order] = np.arange(len(order))
-        return {"at": at, "of": rank[of], "context": context[order], "word": word[order], "lower": self.gram[at[first]][order], "part": part[order], "home": home[order], "hot": hot[order]}
+        of = rank[of]
+        r = np.bincount(of, self.trained[at], len(order)).astype(I)
+        return {
+            "at": at, "of": of, "context": context[order], "word": word[order], "lower": self.gram[at[first]][order], "part": part[order], "home": home[order], "hot": hot[order],
+            "r": r, "sent": len(order) - int(own.sum()),
+        }
 
     def rise(self, level: int, grams: dict) -> None:
         """Takes the answers of a level, whose n-grams are the contexts of the next."""
-        self.count, self.name = _answers(self.table, level, self.shifts[level - 1])
+        count, name, own = _answers(self.table, level, self.shifts[level - 1], self.parts[level - 1])
+        rest = grams["r"][grams["sent"] :]
+        self.count = np.concatenate([count, rest])
+        self.name = np.concatenate([name, np.full(len(rest), -1, I)])
+        self.own = np.concatenate([own, np.ones(len(rest), bool)])
         self.gram = np.full(len(self.seq), -1, I)
         self.gram[grams["at"]] = grams["of"]
 
@@ -274,33 +321,40 @@ def _pieces(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(heads.tolist(), [*heads[1:].tolist(), len(new)])
 
 
-def ask_grams(rows: DataFrame, level: int, parts: list[int], shifts: list[int]) -> DataFrame:
-    """A block's n-grams for their ranges, and its hot contexts for their homes."""
+def ask_grams(rows: DataFrame, uri: str, level: int, parts: list[int], shifts: list[int], turn: int, turns: int) -> DataFrame:
+    """A block's n-grams for their ranges, its hot contexts for their homes, and the STATS of those that it counts itself.
+
+    Of several turns each is for the ranges whose number leaves that remainder.
+    """
 
     def ask(key, table):
-        block = Block(table, shifts)
+        b = key[0].as_py()
+        block = Block(uri, b, table, parts, shifts)
         for m in range(2, level):
-            block.rise(m, block.grams(m, parts[m - 1]))
-        g = block.grams(level, parts[level - 1])
-        r = np.bincount(g["of"], block.trained[g["at"]], len(g["part"])).astype(I)
-        low = np.where(r > 0, block.count[g["lower"]], 0)
-        context, word = block.name[g["context"]], block.words[g["word"]]
-        b, found = key[0].as_py(), []
-        for x, y in _pieces(g["part"], g["hot"]):
-            found.append((b, ASKED_HOT if g["hot"][x] else ASKED, int(g["part"][x]), pack(_deltas(context[x:y]), word[x:y], r[x:y], low[x:y])))
+            block.rise(m, block.grams(m))
+        g = block.grams(level)
+        n = g["sent"]
+        r = g["r"][:n]
+        low = np.where(r > 0, block.count[g["lower"][:n]], 0)
+        context, word = block.name[g["context"][:n]], block.words[g["word"][:n]]
+        found = [] if turn else [(b, STATS, b % parts[level - 1] // turns * turns, _stats(g["r"][n:], 0))]
+        for x, y in _pieces(g["part"][:n], g["hot"][:n]):
+            if g["part"][x] % turns == turn:
+                found.append((b, ASKED_HOT if g["hot"][x] else ASKED, int(g["part"][x]), pack(_deltas(context[x:y]), word[x:y], r[x:y], low[x:y])))
         hot, home = _hot_contexts(g)
         for x, y in _pieces(home):
-            found.append((b, HOT_ASKED, int(home[x]), pack(block.name[hot[x:y]])))
+            if home[x] % turns == turn:
+                found.append((b, HOT_ASKED, int(home[x]), pack(block.name[hot[x:y]])))
         return _table(found)
 
     return rows.groupBy("block").applyInArrow(ask, ROWS)
 
 
 def _merged(got: list) -> tuple[np.ndarray, ...]:
-    """Distinct (context, word) of the asks, in their order, with summed counts; and the place of each entry."""
+    """Distinct (context, word) of the asks, in their order, with summed counts, and if only one asks; the place of each entry."""
     context, word, r, low = (np.concatenate([_sums(g[0]) if i == 0 else g[i] for g in got]) if got else np.zeros(0, I) for i in range(4))
     if not len(context):
-        return context, word, r, low, context
+        return context, word, r, low, context, context
     top = int(word.max()) + 1
     order = np.argsort(context * top + word) if int(context.max()) < (1 << 62) // top else np.lexsort((word, context))
     a, b = context[order], word[order]
@@ -308,7 +362,8 @@ def _merged(got: list) -> tuple[np.ndarray, ...]:
     heads = np.flatnonzero(new)
     place = np.empty(len(order), I)
     place[order] = np.cumsum(new) - 1
-    return a[heads], b[heads], np.add.reduceat(r[order], heads), np.maximum.reduceat(low[order], heads), place
+    alone = np.diff(np.append(heads, len(order))) == 1
+    return a[heads], b[heads], np.add.reduceat(r[order], heads), np.maximum.reduceat(low[order], heads), alone, place
 
 
 def _context_sums(context: np.ndarray, r: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -321,34 +376,38 @@ def _context_sums(context: np.ndarray, r: np.ndarray, low: np.ndarray) -> tuple[
     return context[heads], out
 
 
-def count_grams(asked: DataFrame, parts: int) -> DataFrame:
-    """TABLE: n-grams and counts of a range. To each block: ANSWER (counts, places) and CONTEXTS (sums). SUMS of hot ones. STATS."""
+def count_grams(asked: DataFrame, level: int, parts: int, shift: int) -> DataFrame:
+    """TABLE: n-grams and counts of a range. To each block: ANSWER, as for words, and CONTEXTS (sums). SUMS of hot ones. STATS."""
 
     def merge(key, table):
-        p, rows, sizes = key[0].as_py(), [(b, HOT_ASKED, p, x) for p, b, x in _blobs(table, HOT_ASKED)], 0
+        p, rows, sizes = key[0].as_py(), [(b, kind, p, x) for kind in (HOT_ASKED, STATS) for p, b, x in _blobs(table, kind)], 0
         counts = []
         answers: dict[int, list] = {}
         for kind in (ASKED, ASKED_HOT):
             asked = _blobs(table, kind)
             got = [unpack(x, [I] * 4)[0] for _, _, x in asked]
-            context, word, r, low, place = _merged(got)
+            context, word, r, low, alone, place = _merged(got)
+            marked = r * 2 + alone
             of, sums = _context_sums(context, r, low)
             at = 0
             for (_, block, _), g in zip(asked, got):
                 mine = place[at : at + len(g[0])]
                 at += len(g[0])
-                answers.setdefault(block, []).append((r[mine], mine + sizes))
+                answers.setdefault(block, []).append((marked[mine], mine + sizes))
                 if kind == ASKED:
                     own = _sums(g[0])
-                    k = np.searchsorted(of, own[_heads(own)])
-                    rows.append((block, CONTEXTS, p, pack(*(x[k] for x in sums))))
+                    heads = _heads(own)
+                    k = np.searchsorted(of, own[heads])
+                    # The weight, and so the lower sums, only where the block has an n-gram that training hasn't.
+                    backs_off = np.add.reduceat(r[mine] == 0, heads, dtype=I) > 0
+                    rows.append((block, CONTEXTS, p, pack(*(x[k] for x in sums[: K + 1]), *(np.where(backs_off, x[k], 0) for x in sums[K + 1 :]))))
             sizes += len(context)
             counts.append(r)
             seen = r > 0
             if seen.any():
                 rows.append((0, TABLE, p, pack(_deltas(context[seen]), word[seen], r[seen])))
             if kind == ASKED_HOT and len(of):
-                home = (_spread(of) * U(parts) >> U(32)).astype(I)
+                home = _homes(of, level, parts, shift)
                 order = np.argsort(home, kind="stable")
                 for x, y in _pieces(home[order]):
                     rows.append((0, SUMS, int(home[order[x]]), pack(of[order[x:y]], *(s[order[x:y]] for s in sums))))
@@ -387,7 +446,11 @@ def _weights(block: Block, level: int, g: dict, below: np.ndarray | float, lower
     below: divisors of the contexts of the level before; lower: which of those a context has without its first word.
     """
     n = [np.zeros(len(block.count), I) for _ in range(2 * K + 2)]
-    for kind, context in ((CONTEXTS, g["context"][~g["hot"]]), (HOT_ANSWER, _hot_contexts(g)[0])):
+    sent = g["sent"]
+    own, sums = _context_sums(g["context"][sent:], g["r"][sent:], block.count[g["lower"][sent:]])
+    for k, x in enumerate(sums):
+        n[k][own] = x
+    for kind, context in ((CONTEXTS, g["context"][:sent][~g["hot"][:sent]]), (HOT_ANSWER, _hot_contexts(g)[0])):
         got = [unpack(x, [I] * (2 * K + 2))[0] for _, _, x in _blobs(block.table, kind + 100 * level)]
         if got:
             where = context[_heads(context)]
@@ -402,17 +465,17 @@ def _weights(block: Block, level: int, g: dict, below: np.ndarray | float, lower
     return divisor, (1 - kept / divisor) / np.maximum(1 - mass, 1e-300)
 
 
-def evaluate(rows: DataFrame, parts: list[int], shifts: list[int], model: dict) -> DataFrame:
+def evaluate(rows: DataFrame, uri: str, parts: list[int], shifts: list[int], model: dict) -> DataFrame:
     """Scores of each block's documents, token by token: the n-gram's share, else the weight times the P of the level below."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key, table):
-        block = Block(table, shifts)
+        block = Block(uri, key[0].as_py(), table, parts, shifts)
         known = block.count[block.seq]
         p = _word_p(known, model)
         below, lower = float(model["N"]), np.zeros(0, I)
         for level in range(2, len(parts) + 1):
-            g = block.grams(level, parts[level - 1])
+            g = block.grams(level)
             divisor, alpha = _weights(block, level, g, below, lower, model)
             block.rise(level, g)
             r = block.count
@@ -450,12 +513,13 @@ def _of_level(table: DataFrame, level: int, *kinds: int) -> DataFrame:
 def score(spark: SparkSession, docs: DataFrame, modulus: int = 10, order: int = 3) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod modulus isn't 0 and scores all rows, with n-grams up to the order."""
     scratch = Scratch(spark, "katz")
-    made = scratch.save(blocks(docs, modulus), "blocks", "kind")
-    sizes = {r["kind"]: r["n"] for r in made.filter(F.col("kind").isin(SEQUENCE, WORDS)).groupBy("kind").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
-    if not sizes:
+    uri = f"{scratch.root}/tokens"
+    made = scratch.save(blocks(docs, modulus, uri), "blocks", "kind")
+    size, tokens = made.agg(F.sum(F.octet_length("blob")), F.sum(F.col("part").cast("long"))).first()
+    if not size:
         return spark.createDataFrame([], OUT)
-    # Blobs hold about 9 bytes a word and 2 a token.
-    parts = [max(1, sizes[WORDS] // (9 * RANGE_ENTRIES) + 1)] + [max(1, sizes[SEQUENCE] // RANGE_ENTRIES + 1)] * (order - 1)
+    # Blobs hold about 9 bytes a word.
+    parts = [max(1, size // (9 * RANGE_ENTRIES) + 1)] + [max(1, 2 * tokens // RANGE_ENTRIES + 1)] * (order - 1)
     words = scratch.save(count_words(made.filter(F.col("kind") == WORDS), parts[0]), "words", "kind")
     n = _totals(words)
     model = {"N": n[0], "V": n[1], "d": [discounts([0, *n[2:-1]])]}
@@ -463,17 +527,21 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 10, order: int =
     taken = sum((1 - model["d"][0][r]) * r * k for r, k in enumerate(n[2 : 2 + K], 1))
     model["unseen"] = taken / model["N"] if model["N"] and taken else 1.0 / (model["N"] + 1)
     scratch.free(f"blocks/kind={WORDS}")
-    asks = made.filter(F.col("kind").isin(DOCS, SEQUENCE)).select("block", "kind", "part", "blob").unionAll(_of_level(words, 1, ANSWER))
+    asks = _of_level(words, 1, ANSWER)
     every = asks
     for level in range(2, order + 1):
-        name = f"grams{level}"
-        grams = scratch.save(count_grams(ask_grams(asks, level, parts, shifts), parts[level - 1]), name, "kind")
-        scratch.collect_garbage()
+        turns = 1 if level == 2 else TURNS
+        grams = None
+        for turn in range(turns):
+            asked = ask_grams(asks, uri, level, parts, shifts, turn, turns)
+            some = scratch.save(count_grams(asked, level, parts[level - 1], shifts[level - 2]), f"grams{level}-{turn}", "kind")
+            scratch.collect_garbage()
+            grams = some if grams is None else grams.unionAll(some)
         n = _totals(grams)
         model["d"].append(discounts([0, *n[2:-1]]))
         shifts.append(n[-1].bit_length())
         hot = scratch.save(answer_hot(grams.filter(F.col("kind").isin(SUMS, HOT_ASKED)).select("block", "kind", "part", "blob")), f"hot{level}")
-        scratch.free(f"{name}/kind={SUMS}", f"{name}/kind={HOT_ASKED}")
+        scratch.free(*(f"grams{level}-{turn}/kind={kind}" for turn in range(turns) for kind in (SUMS, HOT_ASKED)))
         asks = asks.unionAll(_of_level(grams, level, ANSWER))
         every = every.unionAll(_of_level(grams, level, ANSWER, CONTEXTS)).unionAll(_of_level(hot, level, HOT_ANSWER))
-    return evaluate(every, parts, shifts, model)
+    return evaluate(every, uri, parts, shifts, model)

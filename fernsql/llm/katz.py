@@ -10,14 +10,15 @@ after h'. A context that isn't known has P(w | h) = P(w | h').
 
 Everything is learned from all training rows. Texts are cut in blocks of about BLOCK_TOKENS tokens; a block's tokens are
 written once as numbers in a list of its distinct words. Then come exchanges of one form, one for each order: blocks
-send their sorted, packed distinct n-grams to ranges; a range merges them, writes its part of the model's tables
-(n-grams and counts; of contexts the sums that give their weights) and answers each block in the order it asked: counts,
-places, and the sums of its contexts. An n-gram is named by its range and place, so one of order m + 1 is a name and
-a word. A context lies in one range; one of over HOT_CONTEXT tokens is spread over as many as its count asks for, and
-its sums meet by a further exchange. A word or n-gram is one entry of a block however often it occurs. A word or n-gram
-that only one block has is marked so in the answer: what follows it can't be elsewhere, so the block counts such longer
-n-grams itself (they are in its partition of tokens) and doesn't send them. A block then evaluates its tokens from the
-lowest order up, which is the recursion read from its end.
+send their sorted, packed distinct n-grams to ranges; a range merges them and answers each block in the order it asked:
+counts, places, and the sums of its contexts that give their weights, these only where the block backs off. What a context
+was seen with in all is its own count, as each token but the end is followed by one. An n-gram is named by its range and
+place, so one of order m + 1 is a name and a word; those of the last order need no names. A context lies in one range;
+one of over HOT_CONTEXT tokens is spread over as many as its count asks for, and its sums meet by a further exchange.
+A word or n-gram is one entry of a block however often it occurs. One that only one block has is marked so
+in the answer, an n-gram without a name: what follows it can't be elsewhere, so the block counts such longer n-grams itself (they
+are in its partition of tokens) and doesn't send them. A block then evaluates its tokens from the lowest order up, which
+is the recursion read from its end. The model is the answers that the blocks hold; no other table of it is written.
 
 Words meet by their 64-bit XXH64. Null texts are empty: one end. A null id hashes as the empty text. Repeated rows
 each count. Without training rows all words are unseen and every probability is 1.
@@ -43,7 +44,7 @@ BLOCK_TOKENS = 1_000_000
 RANGE_ENTRIES = 1_500_000
 #: Tokens of a context that lie in one range; a more frequent one is spread.
 HOT_CONTEXT = 400_000
-#: In how many turns orders above two are exchanged: the shuffle files of one are gone before the next.
+#: In how many turns each order above one is exchanged: the shuffle files of one are gone before the next.
 TURNS = 2
 #: Counts up to this are discounted.
 K = 5
@@ -53,7 +54,7 @@ ROWS = "block long, kind int, part int, blob binary"
 SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 U, I, D = np.uint64, np.int64, np.float64
 #: Kinds of rows.
-WORDS, ASKED, ASKED_HOT, ANSWER, STATS, TABLE, SUMS, CONTEXTS, HOT_ASKED, HOT_ANSWER = range(10)
+WORDS, ASKED, ASKED_HOT, ANSWER, STATS, SUMS, CONTEXTS, HOT_ASKED, HOT_ANSWER = range(9)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -77,6 +78,21 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype)
 
 
+def _run_deltas(a: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Deltas within the runs of equal values of run; each run's first value stays."""
+    out = _deltas(a)
+    heads = _heads(run)
+    out[heads] = a[heads]
+    return out
+
+
+def _run_sums(a: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Undoes ``_run_deltas``."""
+    heads = _heads(run)
+    out = _sums(a)
+    return out - np.repeat(out[heads] - a[heads], np.diff(np.append(heads, len(a))))
+
+
 def _heads(a: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, I)
@@ -184,7 +200,7 @@ def _stats(counts: np.ndarray, places: int) -> bytes:
 
 
 def count_words(words: DataFrame, parts: int) -> DataFrame:
-    """TABLE: keys, counts and places of a range. ANSWER to each block: counts (and if only it has the word), and places. STATS."""
+    """ANSWER to each block: counts (and if only it has the word), and places. STATS."""
 
     def ask(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -209,7 +225,7 @@ def count_words(words: DataFrame, parts: int) -> DataFrame:
             mine = place[at : at + len(k)]
             at += len(k)
             rows.append((block, ANSWER, p, pack(c[mine] * 2 + alone[mine], number[mine])))
-        return _table([*rows, (0, STATS, p, _stats(np.where(keys == U(START), 0, c), len(keys))), (0, TABLE, p, pack(keys, c, number))])
+        return _table([*rows, (0, STATS, p, _stats(np.where(keys == U(START), 0, c), len(keys)))])
 
     return words.select("block", "blob").mapInArrow(ask, ROWS).groupBy("part").applyInArrow(merge, ROWS)
 
@@ -226,13 +242,20 @@ def _spread(code: np.ndarray) -> np.ndarray:
 def _answers(table, level: int, shift: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts and names of a block's n-grams of a level, in the order asked, and which only this block has.
 
-    A word's name is its place and then its range, an n-gram's its range and then its place.
+    A word's name is its place and then its range, an n-gram's its range and then its place (-1: none).
     """
     c, ids = [], []
     for p, _, blob in _blobs(table, ANSWER + 100 * level):
-        (n, places), _ = unpack(blob, [I, I])
+        if level == 1:
+            (n, places), _ = unpack(blob, [I, I])
+            ids.append(places * parts + p)
+        else:
+            (n,), named = unpack(blob, [I])
+            name = np.full(len(n), -1, I)
+            if named:
+                name[n % 2 == 0] = _sums(unpack(named, [I])[0][0]) + (p << shift)
+            ids.append(name)
         c.append(n)
-        ids.append(places * parts + p if level == 1 else _sums(places) + (p << shift))
     c, ids = (np.concatenate(x) if x else np.zeros(0, I) for x in (c, ids))
     return c >> 1, ids, c % 2 == 1
 
@@ -340,7 +363,7 @@ def ask_grams(rows: DataFrame, uri: str, level: int, parts: list[int], shifts: l
         found = [] if turn else [(b, STATS, b % parts[level - 1] // turns * turns, _stats(g["r"][n:], 0))]
         for x, y in _pieces(g["part"][:n], g["hot"][:n]):
             if g["part"][x] % turns == turn:
-                found.append((b, ASKED_HOT if g["hot"][x] else ASKED, int(g["part"][x]), pack(_deltas(context[x:y]), word[x:y], r[x:y], low[x:y])))
+                found.append((b, ASKED_HOT if g["hot"][x] else ASKED, int(g["part"][x]), pack(_deltas(context[x:y]), _run_deltas(word[x:y], context[x:y]), r[x:y], low[x:y])))
         hot, home = _hot_contexts(g)
         for x, y in _pieces(home):
             if home[x] % turns == turn:
@@ -350,9 +373,16 @@ def ask_grams(rows: DataFrame, uri: str, level: int, parts: list[int], shifts: l
     return rows.groupBy("block").applyInArrow(ask, ROWS)
 
 
+def _asked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Context, word, count and lower count of the n-grams that a block asks for."""
+    (context, word, r, low), _ = unpack(blob, [I] * 4)
+    context = _sums(context)
+    return context, _run_sums(word, context), r, low
+
+
 def _merged(got: list) -> tuple[np.ndarray, ...]:
     """Distinct (context, word) of the asks, in their order, with summed counts, and if only one asks; the place of each entry."""
-    context, word, r, low = (np.concatenate([_sums(g[0]) if i == 0 else g[i] for g in got]) if got else np.zeros(0, I) for i in range(4))
+    context, word, r, low = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, I) for i in range(4))
     if not len(context):
         return context, word, r, low, context, context
     top = int(word.max()) + 1
@@ -376,8 +406,17 @@ def _context_sums(context: np.ndarray, r: np.ndarray, low: np.ndarray) -> tuple[
     return context[heads], out
 
 
-def count_grams(asked: DataFrame, level: int, parts: int, shift: int) -> DataFrame:
-    """TABLE: n-grams and counts of a range. To each block: ANSWER, as for words, and CONTEXTS (sums). SUMS of hot ones. STATS."""
+def _backs_off(r: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which of the contexts that begin at heads have an n-gram that training hasn't."""
+    return np.add.reduceat(r == 0, heads, dtype=I) > 0 if len(heads) else np.zeros(0, bool)
+
+
+def count_grams(asked: DataFrame, level: int, parts: int, shift: int, named: bool) -> DataFrame:
+    """To each block: ANSWER, as for words (named: with places of those that other blocks have too), and CONTEXTS. SUMS of hot ones. STATS.
+
+    CONTEXTS: which contexts have discounted n-grams, and of those with an n-gram of the block that training hasn't the
+    sums by level of count: of the n-grams but for the last level, which the context's count gives, and of the lower ones.
+    """
 
     def merge(key, table):
         p, rows, sizes = key[0].as_py(), [(b, kind, p, x) for kind in (HOT_ASKED, STATS) for p, b, x in _blobs(table, kind)], 0
@@ -385,35 +424,32 @@ def count_grams(asked: DataFrame, level: int, parts: int, shift: int) -> DataFra
         answers: dict[int, list] = {}
         for kind in (ASKED, ASKED_HOT):
             asked = _blobs(table, kind)
-            got = [unpack(x, [I] * 4)[0] for _, _, x in asked]
+            got = [_asked(x) for _, _, x in asked]
             context, word, r, low, alone, place = _merged(got)
-            marked = r * 2 + alone
+            marked = r * 2 + alone if named else r * 2
+            places = _sums((~alone).astype(I)) - 1 + sizes if named else place
             of, sums = _context_sums(context, r, low)
+            discounted = (sum(sums[:K]) > 0).astype(I)
             at = 0
-            for (_, block, _), g in zip(asked, got):
-                mine = place[at : at + len(g[0])]
-                at += len(g[0])
-                answers.setdefault(block, []).append((marked[mine], mine + sizes))
+            for (_, block, _), (own, *_) in zip(asked, got):
+                mine = place[at : at + len(own)]
+                at += len(own)
+                answers.setdefault(block, []).append((marked[mine], places[mine[~alone[mine]]] if named else mine[:0]))
                 if kind == ASKED:
-                    own = _sums(g[0])
                     heads = _heads(own)
                     k = np.searchsorted(of, own[heads])
-                    # The weight, and so the lower sums, only where the block has an n-gram that training hasn't.
-                    backs_off = np.add.reduceat(r[mine] == 0, heads, dtype=I) > 0
-                    rows.append((block, CONTEXTS, p, pack(*(x[k] for x in sums[: K + 1]), *(np.where(backs_off, x[k], 0) for x in sums[K + 1 :]))))
-            sizes += len(context)
+                    off = k[_backs_off(r[mine], heads)]
+                    rows.append((block, CONTEXTS, p, pack(discounted[k], body=pack(*(x[off] for x in (*sums[:K], *sums[K + 1 :]))))))
+            sizes += int((~alone).sum()) if named else 0
             counts.append(r)
-            seen = r > 0
-            if seen.any():
-                rows.append((0, TABLE, p, pack(_deltas(context[seen]), word[seen], r[seen])))
             if kind == ASKED_HOT and len(of):
                 home = _homes(of, level, parts, shift)
                 order = np.argsort(home, kind="stable")
                 for x, y in _pieces(home[order]):
                     rows.append((0, SUMS, int(home[order[x]]), pack(of[order[x:y]], *(s[order[x:y]] for s in sums))))
         for block, found in answers.items():
-            r, place = (np.concatenate(x) for x in zip(*found))
-            rows.append((block, ANSWER, p, pack(r, _deltas(place))))
+            n, place = (np.concatenate(x) for x in zip(*found))
+            rows.append((block, ANSWER, p, pack(n, body=pack(_deltas(place)) if named else b"")))
         rows.append((0, STATS, p, _stats(np.concatenate(counts), sizes)))
         return _table(rows)
 
@@ -440,22 +476,33 @@ def answer_hot(rows: DataFrame) -> DataFrame:
 # Evaluation ---------------------------------------------------------------------------------------------------
 
 
-def _weights(block: Block, level: int, g: dict, below: np.ndarray | float, lower: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+def _weights(table, level: int, g: dict, count: np.ndarray, r: np.ndarray, below: np.ndarray | float, lower: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Divisor and backoff weight of each n-gram of the level before as a context (1 where it isn't known).
 
-    below: divisors of the contexts of the level before; lower: which of those a context has without its first word.
+    count, r: counts of the n-grams of the level before and of this one. below: divisors of the contexts of the level
+    before; lower: which of those a context has without its first word. The weight is right only where a context backs off.
     """
-    n = [np.zeros(len(block.count), I) for _ in range(2 * K + 2)]
+    n = [np.zeros(len(count), I) for _ in range(2 * K + 2)]
     sent = g["sent"]
-    own, sums = _context_sums(g["context"][sent:], g["r"][sent:], block.count[g["lower"][sent:]])
+    own, sums = _context_sums(g["context"][sent:], r[sent:], count[g["lower"][sent:]])
     for k, x in enumerate(sums):
         n[k][own] = x
-    for kind, context in ((CONTEXTS, g["context"][:sent][~g["hot"][:sent]]), (HOT_ANSWER, _hot_contexts(g)[0])):
-        got = [unpack(x, [I] * (2 * K + 2))[0] for _, _, x in _blobs(block.table, kind + 100 * level)]
-        if got:
-            where = context[_heads(context)]
-            for k, x in enumerate(zip(*got)):
-                n[k][where] = np.concatenate(x)
+    got = [unpack(x, [I] * (2 * K + 2))[0] for _, _, x in _blobs(table, HOT_ANSWER + 100 * level)]
+    if got:
+        hot = _hot_contexts(g)[0]
+        for k, x in enumerate(zip(*got)):
+            n[k][hot] = np.concatenate(x)
+    got = [unpack(x, [I]) for _, _, x in _blobs(table, CONTEXTS + 100 * level)]
+    if got:
+        cold = ~g["hot"][:sent]
+        context = g["context"][:sent][cold]
+        heads = _heads(context)
+        where = context[heads]
+        n[0][where] = np.concatenate([x for (x,), _ in got])
+        off = where[_backs_off(r[:sent][cold], heads)]
+        for k, x in enumerate(zip(*(unpack(body, [I] * (2 * K + 1))[0] for _, body in got))):
+            n[k + (k >= K)][off] = np.concatenate(x)
+        n[K][where] = count[where] - sum(x[where] for x in n[:K])
     d, before = model["d"][level - 1], model["d"][level - 2]
     total = sum(n[: K + 1])
     kept = sum(x * d[k] for k, x in enumerate(n[: K + 1], 1))
@@ -475,10 +522,10 @@ def evaluate(rows: DataFrame, uri: str, parts: list[int], shifts: list[int], mod
         p = _word_p(known, model)
         below, lower = float(model["N"]), np.zeros(0, I)
         for level in range(2, len(parts) + 1):
-            g = block.grams(level)
-            divisor, alpha = _weights(block, level, g, below, lower, model)
+            g, count = block.grams(level), block.count
             block.rise(level, g)
             r = block.count
+            divisor, alpha = _weights(table, level, g, count, r, below, lower, model)
             share = model["d"][level - 1][np.minimum(r, K + 1)] * r / divisor[g["context"]]
             p[g["at"]] = np.where(r > 0, share, 0.0)[g["of"]] + np.where(r > 0, 0.0, alpha[g["context"]])[g["of"]] * p[g["at"]]
             below, lower = divisor, g["lower"]
@@ -519,7 +566,7 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 10, order: int =
     if not size:
         return spark.createDataFrame([], OUT)
     # Blobs hold about 9 bytes a word.
-    parts = [max(1, size // (9 * RANGE_ENTRIES) + 1)] + [max(1, 2 * tokens // RANGE_ENTRIES + 1)] * (order - 1)
+    parts = [max(1, size // (9 * RANGE_ENTRIES) + 1)] + [max(1, tokens // RANGE_ENTRIES + 1)] * (order - 1)
     words = scratch.save(count_words(made.filter(F.col("kind") == WORDS), parts[0]), "words", "kind")
     n = _totals(words)
     model = {"N": n[0], "V": n[1], "d": [discounts([0, *n[2:-1]])]}
@@ -530,18 +577,17 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 10, order: int =
     asks = _of_level(words, 1, ANSWER)
     every = asks
     for level in range(2, order + 1):
-        turns = 1 if level == 2 else TURNS
         grams = None
-        for turn in range(turns):
-            asked = ask_grams(asks, uri, level, parts, shifts, turn, turns)
-            some = scratch.save(count_grams(asked, level, parts[level - 1], shifts[level - 2]), f"grams{level}-{turn}", "kind")
+        for turn in range(TURNS):
+            asked = ask_grams(asks, uri, level, parts, shifts, turn, TURNS)
+            some = scratch.save(count_grams(asked, level, parts[level - 1], shifts[level - 2], level < order), f"grams{level}-{turn}", "kind")
             scratch.collect_garbage()
             grams = some if grams is None else grams.unionAll(some)
         n = _totals(grams)
         model["d"].append(discounts([0, *n[2:-1]]))
         shifts.append(n[-1].bit_length())
         hot = scratch.save(answer_hot(grams.filter(F.col("kind").isin(SUMS, HOT_ASKED)).select("block", "kind", "part", "blob")), f"hot{level}")
-        scratch.free(*(f"grams{level}-{turn}/kind={kind}" for turn in range(turns) for kind in (SUMS, HOT_ASKED)))
+        scratch.free(*(f"grams{level}-{turn}/kind={kind}" for turn in range(TURNS) for kind in (SUMS, HOT_ASKED)))
         asks = asks.unionAll(_of_level(grams, level, ANSWER))
         every = every.unionAll(_of_level(grams, level, ANSWER, CONTEXTS)).unionAll(_of_level(hot, level, HOT_ANSWER))
     return evaluate(every, uri, parts, shifts, model)

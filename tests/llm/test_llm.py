@@ -505,6 +505,42 @@ def test_katz_against_brute_force(spark, order, hot, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_katz_keeps_what_blocks_need(spark, monkeypatch):
+    """On disk stay counts, names of shared n-grams, and sums where a block backs off: under a byte for each token and order."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 10_000)
+    monkeypatch.setattr(katz, "RANGE_ENTRIES", 50_000)
+    save, kept = common.Scratch.save, []
+
+    def saved(self, df, name, *parts):
+        out = save(self, df, name, *parts)
+        if name.startswith("grams"):
+            kept.append(out.agg(F.sum(F.octet_length("blob"))).first()[0])
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", saved)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(3000 ** rng.random())}" for _ in range(200))) for i in range(500)]
+    katz.score(spark, table(spark, rows))
+    assert 0 < sum(kept) < 2 * 500 * 201
+
+
+def test_katz_sums_only_where_a_block_backs_off(spark):
+    """Two blocks ask for n-grams after 7; only the second has one that training lacks, so it alone gets sums."""
+
+    def ask(block, *ngrams):
+        context, word, r, low = (np.array(x) for x in zip(*ngrams))
+        return block, katz.ASKED, 0, katz.pack(katz._deltas(context), katz._run_deltas(word, context), r, low)
+
+    rows = [ask(1, (5, 1, 1, 3), (5, 4, 2, 4), (7, 2, 9, 9), (7, 3, 1, 2)), ask(2, (7, 2, 1, 9), (7, 3, 1, 2), (7, 6, 0, 0))]
+    got = {(r["block"], r["kind"]): bytes(r["blob"]) for r in collected(katz.count_grams(spark.createDataFrame(rows, katz.ROWS), 3, 1, 20, False))}
+    assert [katz.unpack(got[b, katz.ANSWER], [np.int64])[0][0].tolist() for b in (1, 2)] == [[2, 4, 20, 4], [20, 4, 0]]
+    (first, none), (second, some) = (katz.unpack(got[b, katz.CONTEXTS], [np.int64]) for b in (1, 2))
+    assert first[0].tolist() == [1, 1] and second[0].tolist() == [1]
+    assert [len(x) for x in katz.unpack(none, [np.int64] * 11)[0]] == [0] * 11
+    # One n-gram after 7 occurs twice and one ten times; the lower ones twice and nine times.
+    assert [x.tolist() for x in katz.unpack(some, [np.int64] * 11)[0]] == [[x] for x in (0, 2, 0, 0, 0, 0, 2, 0, 0, 0, 9)]
+
+
 def test_katz_without_training_rows(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     (r,) = collected(katz.score(spark, table(spark, [(held, "a b")])))
